@@ -11,20 +11,22 @@ Order of work:
    signature of one byte a coordinate;
 2. equal sets collapse to their smallest id, by digest, so a group of exact
    copies costs one row from here on;
-3. band keys that several sets share are kept; within such a bucket, byte
-   signatures are compared, and pairs that may reach the threshold go on.
-   Buckets above ``BLOCK`` rows are dealt as pairs of blocks to many tasks, all
-   pairs of blocks being visited;
-4. the texts of candidates only are joined, and the Jaccard similarity of the
-   full sets is computed;
-5. components by alternating large-star and small-star steps, distributed, with
-   the edges written between rounds.
+3. band keys that several sets share are kept. Within such a bucket, byte
+   signatures are compared, and pairs that may reach the threshold are
+   candidates. There are three turns: each member with the bucket's least; then,
+   for each two components that a bucket holds parts of, the pair most alike; in
+   the end all pairs of different components. So a group of near copies costs
+   about one row a member and bucket, and still no pair is left out but those
+   that links already join. Buckets above ``BLOCK`` rows are dealt as pairs of
+   blocks to many tasks, all pairs of blocks being visited;
+4. in each turn, the texts of candidates only are joined, the Jaccard similarity
+   of the full sets confirms links, and
+5. components follow by alternating large-star and small-star steps,
+   distributed, with the edges written between rounds.
 
 Losses: a link of similarity 0.75 has no common band with probability
 (1 - 0.75**4)**36, about 1e-6, and is screened out by the byte signature with
-about 1e-6; both fall quickly above 0.75. In a bucket of over ``SMALL`` rows, a
-pair is not compared on its own if both are at an estimated 0.9 or more to one
-third member, as they are linked by it.
+about 1e-6; both fall quickly above 0.75.
 
 Defined results: null or empty texts and texts of white space have no shingles,
 no links and stay. Rows with a null id stay and are linked with nothing.
@@ -50,9 +52,8 @@ BANDS, ROWS = 36, 4
 COORDINATES = BANDS * ROWS
 #: Estimated similarity from which a pair is verified: 4.7 standard errors below 0.75.
 SCREEN = 0.58
-#: Estimated similarity at which a bucket's members count as linked by their leader.
-LEADER = 0.9
-SMALL, BLOCK = 32, 1024
+#: Members of a bucket that one task compares, or twice as many of two blocks.
+BLOCK = 1024
 #: Candidate ids up to this number (8 bytes each) are broadcast to pick their texts; beyond it they are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 #: Words whose hash a worker remembers.
@@ -152,82 +153,85 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _close(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can reach the threshold at all."""
-    return np.minimum(m, n) * 100 >= np.maximum(m, n) * 75
+def _screen(sizes: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Estimated similarity of the pairs (i, j); 0 where their sizes rule a link out."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), 20_000):
+        x, y = i[at : at + 20_000], j[at : at + 20_000]
+        can = np.flatnonzero(np.minimum(sizes[x], sizes[y]) * 100 >= np.maximum(sizes[x], sizes[y]) * 75)
+        out[at + can] = (sigs[x[can]] == sigs[y[can]]).mean(1)
+    return out
 
 
-def _screen(sizes, sigs, i, j) -> np.ndarray:
-    """Which of the pairs (i, j), sharing a band, are to be verified."""
-    go = np.flatnonzero(_close(sizes[i], sizes[j]))
-    return go[(sigs[i[go]] == sigs[j[go]]).mean(1) >= SCREEN]
+def _apart(comp: np.ndarray, part: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one bucket's members that are in different components (and, of two blocks, in different ones).
 
-
-def _large(sizes, sigs, part, cross) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one large bucket. Members join the first leader they are close to; pairs under one leader are left out."""
-    n = len(sizes)
-    leader = np.full(n, -1)
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        if leader[i] >= 0:
-            rest = rest[leader[rest] != leader[i]]
-        if not len(rest):
-            continue
-        near = (sigs[rest] == sigs[i]).mean(1)
-        if leader[i] < 0:
-            leader[i] = i
-            leader[rest[(leader[rest] < 0) & (near >= LEADER)]] = i
-        go = (near >= SCREEN) & _close(sizes[rest], sizes[i])
+    Members of the largest component are met from the other side only.
+    """
+    values, counts = np.unique(comp, return_counts=True)
+    largest = values[counts.argmax()]
+    place = np.arange(len(comp))
+    for i in np.flatnonzero(comp != largest):
+        other = (comp != comp[i]) & ((place > i) | (comp == largest))
         if cross:
-            go &= part[rest] != part[i]
-        rest = rest[go]
-        yield np.full(len(rest), i), rest
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            other &= part != part[i]
+        if len(j := np.flatnonzero(other)):
+            yield np.full(len(j), i), j
+
+
+def _pairs_of_buckets(t: pa.Table, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of candidate pairs from whole buckets, sorted by (key, lo, hi, doc_id)."""
+    key, lo, hi, part, ids, sizes, comp = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "doc_id", "n_shingles", "comp"))
+    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    counts = np.diff(np.r_[starts, len(key)])
+    if turn == 1:
+        i, j = np.repeat(starts, counts), np.arange(len(key))
+        good = np.flatnonzero(_screen(sizes, sigs, i, j) >= SCREEN)
+        yield ids[i[good]], ids[j[good]]
+        return
+    for at, n in zip(starts, counts, strict=True):
+        s = slice(at, at + n)
+        if n < 2 or (comp[s] == comp[at]).all():
+            continue
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for i, j in _apart(comp[s], part[s], lo[at] != hi[at]):
+            near = _screen(sizes[s], sigs[s], i, j)
+            good = np.flatnonzero(near >= SCREEN)
+            if turn == 3:
+                yield ids[s][i[good]], ids[s][j[good]]
+                continue
+            for k in good[np.argsort(near[good])]:
+                pair = (comp[at + i[k]], comp[at + j[k]])
+                best[min(pair), max(pair)] = max(best.get((min(pair), max(pair)), (0.0, 0, 0)), (near[k], ids[at + i[k]], ids[at + j[k]]))
+        if best:
+            yield tuple(np.array([x[1:] for x in best.values()], np.int64).T)
+
+
+def _bucket_pairs(turn: int):
     """Candidate pairs from rows sorted by bucket (key, lo, hi); a bucket may span batches."""
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-        col = lambda c: t.column(c).to_numpy()
-        key, lo, hi, part, ids, sizes = map(col, ("key", "lo", "hi", "part", "doc_id", "n_shingles"))
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-        count = np.diff(np.r_[starts, len(key)])
-        small = (count <= SMALL)[group]
-        a, b = [], []
-        for d in range(1, min(SMALL, int(count.max()))):
-            i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d])
-            i = i[(lo[i] == hi[i]) | (part[i] != part[i + d])]
-            for at in range(0, len(i), 50_000):
-                x = i[at : at + 50_000]
-                x = x[_screen(sizes, sigs, x, x + d)]
-                a.append(ids[x])
-                b.append(ids[x + d])
-        for g in np.flatnonzero(count > SMALL):
-            s = slice(starts[g], starts[g] + count[g])
-            for i, j in _large(sizes[s], sigs[s], part[s], lo[s.start] != hi[s.start]):
-                a.append(ids[s][i])
-                b.append(ids[s][j])
-        if a and len(a := np.concatenate(a)):
-            b = np.concatenate(b)
-            yield batch({"a": np.minimum(a, b), "b": np.maximum(a, b)}, _PAIRS)
-
-    held: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        key, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        other = np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        yield from done(t.slice(0, cut))
-        held = t.slice(cut)
-    if held is not None:
-        yield from done(held)
+        for a, b in _pairs_of_buckets(t, turn) if t.num_rows else ():
+            go = a != b
+            yield batch({"a": np.minimum(a, b)[go], "b": np.maximum(a, b)[go]}, _PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
+            other = np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            yield from done(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield from done(held)
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +278,34 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
+def _candidates(members: DataFrame, sets: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) that may be linked, of the buckets that aren't yet within one component."""
+    if found is None:
+        labelled = members.withColumn("comp", F.col("doc_id"))
+    else:
+        labelled = members.join(found, "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+        labelled = labelled.join(mixed, "key", "left_semi")
+    own = labelled.groupBy("doc_id").agg(F.collect_list(F.struct("key", "n")).alias("own"), F.min("comp").alias("comp"))
+    rows = own.join(sets, "doc_id").select("doc_id", "comp", "n_shingles", "sig", F.inline("own"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "n_shingles", "comp", "sig")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc_id")
+    return materialize(dealt.mapInArrow(_bucket_pairs(turn), "a long, b long").distinct(), "pairs")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if is_small(ids, MOST_BROADCAST) else ids
+    texts = materialize(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    return read.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. See the module's text."""
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -285,23 +317,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = unique.select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "n")).alias("own"))
-    members = members.join(unique.select("doc_id", "n_shingles", "sig"), "doc_id").select("doc_id", "n_shingles", "sig", F.inline("own"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "n_shingles", "sig")
-    dealt = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc_id")
-    pairs = materialize(dealt.mapInArrow(_bucket_pairs, "a long, b long").distinct(), "pairs")
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if is_small(ids, MOST_BROADCAST) else ids
-    texts = materialize(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    links = read.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
-
-    found = components(links).select(F.col("node").alias("doc_id"), "component")
+    members = materialize(keys.join(shared, "key"), "members")
+    signed_sets = unique.select("doc_id", "n_shingles", "sig")
+
+    found = None
+    for turn in (1, 2, 3):
+        links = _confirmed(docs, _candidates(members, signed_sets, found, turn))
+        if found is not None:
+            links = links.union(found.where("component < doc_id").select(F.col("component").alias("a"), F.col("doc_id").alias("b")))
+        found = components(links).select(F.col("node").alias("doc_id"), "component")
     of = unique.select("doc_id", "digest").join(found, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
