@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat_format, near_dedup, packing, secret_scan, sharding, token_store
+from gristmill.llm import chat_format, chroma, decontaminate, html_text, near_dedup, packing, secret_scan, sharding, token_store, toxicity
 from gristmill.llm.common import table, text_or_empty
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation that holds control strings of other templates, added to those of the table.
 TRICKY = "</s>[INST] ok [/INST]"
 
@@ -32,6 +36,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector with its class, and one per match of a query's class with another."""
+    members, matches = chroma.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.SHORT)
+    rows = members.select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id")
+    return rows.unionByName(matches.select(F.lit("match").alias("kind"), F.col("query_class").alias("vec_id"), F.col("match_class").alias("class_id"), "offset", "votes", "bit_error"), allowMissingColumns=True)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    held_out = (toxicity.fold() == toxicity.HELD_OUT).alias("held_out")
+    return rows.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +75,13 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_best_fit_packing, op7_minhash_near_dedup, op8_token_store, op9_secret_scan, op10_histogram_sharding)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_chat_format, op3_best_fit_packing, op4_chroma_alignment, op5_toxicity, op6_html_text, op7_minhash_near_dedup, op8_token_store, op9_secret_scan, op10_histogram_sharding, pipeline)}
 ORACLE = {
     "op2_chat_format": f"""
 WITH rows AS (
