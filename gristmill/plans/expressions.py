@@ -132,6 +132,8 @@ def safe_division(sql: str) -> str:
             b = _closing(ts, b)
         elif b + 1 < len(ts) and ts[b].kind == "name" and ts[b + 1].text == "(":
             b = _closing(ts, b + 1)
+            if b + 2 < len(ts) and ts[b + 1].text.upper() == "OVER":
+                b = _closing(ts, b + 2)
         start, end = ts[a].start, ts[b].end
         return sql[:start] + f"NULLIF({safe_division(sql[start:end])}, 0)" + safe_division_tail(sql[end:])
     return sql
