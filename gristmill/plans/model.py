@@ -324,7 +324,7 @@ class Registry:
             raise ModelError(f"unknown parts of a model: {sorted(unknown)}")
         for kind, make in makers[:-2]:
             for x in spec.get(kind, []):
-                make(**x)
+                make(**{"on" if k is True else k: v for k, v in x.items()})  # YAML reads a bare `on` as true
         waiting = [dict(x) for x in spec.get("metrics", [])]
         for x in sorted(waiting, key=lambda x: x.get("parent") is None):
             r.metric(**{k: tuple(v) if isinstance(v, list) else v for k, v in x.items()})

@@ -99,4 +99,4 @@ class Availability:
 
 def scan_bytes(df: DataFrame) -> int:
     """Spark's estimate of the bytes a plan reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -24,7 +24,7 @@ def test_calls_and_division():
     assert safe_division("a / NULLIF(b, 0)") == "a / NULLIF(b, 0)"
     assert safe_division("a / SUM(b) OVER ()") == "a / NULLIF(SUM(b) OVER (), 0)"
     assert over("ORDER BY d.m DESC ROWS BETWEEN 6 PRECEDING AND CURRENT ROW").preceding == 6
-    assert "x / y" in [c.args[0] for c in calls("f('a / b', x / y)")][0] or calls("f('a / b', x / y)")[0].args[1] == "x / y"
+    assert calls("f('a / b', x / y)")[0].args == ("'a / b'", "x / y")
 
 
 def test_decompose_kinds():
@@ -94,7 +94,8 @@ def test_look_back_equals_filter_after(spark, folder):
     e = engine(spark, folder)
     near = e.query(["trailing_quarter"], ["day.month[order]"], ["day.month[order] >= 199801"])
     whole = e.query(["trailing_quarter"], ["day.month[order]"]).where("month_order >= 199801")
-    assert sorted(near.collect()) == sorted(whole.collect())
+    cut = lambda df: sorted((r[0], round(r[1], 3)) for r in df.collect())
+    assert cut(near) == cut(whole)
 
 
 DIMENSIONS = ("customer.c_mktsegment[customer]", "day.year[order]", "order_facts.o_orderstatus", "nation.n_name[customer]")
@@ -111,7 +112,7 @@ def test_rollup_equals_rows(spark, folder, tmp_path_factory, dims):
     assert e.used
     key = lambda r: repr([x for x in r if not isinstance(x, float)])
     for a, b in zip(sorted(raw, key=key), sorted(stored.collect(), key=key), strict=True):
-        assert [x for x in a] == pytest.approx([x for x in b], rel=1e-9)
+        assert all(x == (pytest.approx(y, rel=1e-9) if isinstance(y, float) else y) for x, y in zip(a, b, strict=True))
 
 
 def test_limited_rollup_and_freshness(spark, folder, tmp_path):
