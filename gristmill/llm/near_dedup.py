@@ -256,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are pre-aggregated before each shuffle; no node's neighbours are
     gathered.
     """
-    edges = materialize(edges.select("a", "b").where("a < b").distinct(), "edges")
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -328,5 +328,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = components(links).select(F.col("node").alias("doc_id"), "component")
     of = unique.select("doc_id", "digest").join(found, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
