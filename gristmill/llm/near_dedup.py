@@ -17,8 +17,11 @@ Order of work:
    for each two components that a bucket holds parts of, the pair most alike; in
    the end all pairs of different components. So a group of near copies costs
    about one row a member and bucket, and still no pair is left out but those
-   that links already join. Buckets above ``BLOCK`` rows are dealt as pairs of
-   blocks to many tasks, all pairs of blocks being visited;
+   that links already join. The last turn compares longer signatures (``FINE``
+   coordinates, of the texts in such buckets only), which tell a text that is
+   just short of a link to every member of a group from a linked one. Buckets
+   above ``BLOCK`` rows are dealt as pairs of blocks to many tasks, all pairs of
+   blocks being visited;
 4. in each turn, the texts of candidates only are joined, the Jaccard similarity
    of the full sets confirms links, and
 5. components follow by alternating large-star and small-star steps,
@@ -26,7 +29,7 @@ Order of work:
 
 Losses: a link of similarity 0.75 has no common band with probability
 (1 - 0.75**4)**36, about 1e-6, and is screened out by the byte signature with
-about 1e-6; both fall quickly above 0.75.
+about 1e-6, and as often by the longer one; all fall quickly above 0.75.
 
 Defined results: null or empty texts and texts of white space have no shingles,
 no links and stay. Rows with a null id stay and are linked with nothing.
@@ -52,6 +55,8 @@ BANDS, ROWS = 36, 4
 COORDINATES = BANDS * ROWS
 #: Estimated similarity from which a pair is verified: 4.7 standard errors below 0.75.
 SCREEN = 0.58
+#: The same for the longer signatures of the last turn.
+FINE, FINE_SCREEN = 1024, 0.686
 #: Members of a bucket that one task compares, or twice as many of two blocks.
 BLOCK = 1024
 #: Candidate ids up to this number (8 bytes each) are broadcast to pick their texts; beyond it they are joined by shuffle.
@@ -66,7 +71,9 @@ MIX32 = (0x85EBCA6B, 0xC2B2AE35)
 
 _M64 = (1 << 64) - 1
 _PLACES = np.array([pow(GOLDEN, 2 * i + 1, 1 << 64) | 1 for i in range(WORDS)], np.uint64)
-_SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
+_SHIFTS = np.arange(FINE, dtype=np.uint32)[:, None]
+#: Numbers that are permuted at one time.
+_AT_ONCE = 150_000
 
 
 class _WordHashes(dict):
@@ -105,12 +112,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix64(out))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The circulant MinHash signature of a set of 64-bit hashes."""
+def signature(s: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """The circulant MinHash signature of a set of 64-bit hashes; a longer one begins with the shorter ones."""
     sigma = (_mix64(s ^ np.uint64(GOLDEN)) >> np.uint64(32)).astype(np.uint32)
-    low = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(sigma), 1024):
-        x = sigma[at : at + 1024] + _SHIFTS
+    low = np.full(coordinates, 0xFFFFFFFF, np.uint32)
+    step = _AT_ONCE // coordinates
+    for at in range(0, len(sigma), step):
+        x = sigma[at : at + step] + _SHIFTS[:coordinates]
         x ^= x >> np.uint32(16)
         x *= np.uint32(MIX32[0])
         x ^= x >> np.uint32(13)
@@ -150,16 +158,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"doc_id": b.column("doc_id"), "n_shingles": n, "digest": digests, "sig": sigs, "keys": keys}, _SIGNED)
 
 
+_FINE = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary())])
+
+
+def _sign_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 1000):
+        yield batch({"doc_id": b.column("doc_id"), "sig": [signature(shingles(t.as_py()), FINE).astype(np.uint8).tobytes() for t in b.column("text")]}, _FINE)
+
+
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _screen(sizes: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Estimated similarity of the pairs (i, j); 0 where their sizes rule a link out."""
+    """Estimated similarity of the pairs (i, j); 0 where their sizes or their signatures rule a link out."""
     out = np.zeros(len(i))
     for at in range(0, len(i), 20_000):
         x, y = i[at : at + 20_000], j[at : at + 20_000]
         can = np.flatnonzero(np.minimum(sizes[x], sizes[y]) * 100 >= np.maximum(sizes[x], sizes[y]) * 75)
-        out[at + can] = (sigs[x[can]] == sigs[y[can]]).mean(1)
+        near = (sigs[x[can], :COORDINATES] == sigs[y[can], :COORDINATES]).mean(1)
+        can, near = can[near >= SCREEN], near[near >= SCREEN]
+        if sigs.shape[1] > COORDINATES:
+            near = np.concatenate([(sigs[x[c]] == sigs[y[c]]).mean(1) for c in np.array_split(can, len(can) // 2000 + 1)])
+            can, near = can[near >= FINE_SCREEN], near[near >= FINE_SCREEN]
+        out[at + can] = near
     return out
 
 
@@ -182,12 +203,12 @@ def _apart(comp: np.ndarray, part: np.ndarray, cross: bool) -> Iterator[tuple[np
 def _pairs_of_buckets(t: pa.Table, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of candidate pairs from whole buckets, sorted by (key, lo, hi, doc_id)."""
     key, lo, hi, part, ids, sizes, comp = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "doc_id", "n_shingles", "comp"))
-    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
     counts = np.diff(np.r_[starts, len(key)])
     if turn == 1:
         i, j = np.repeat(starts, counts), np.arange(len(key))
-        good = np.flatnonzero(_screen(sizes, sigs, i, j) >= SCREEN)
+        good = np.flatnonzero(_screen(sizes, sigs, i, j) > 0)
         yield ids[i[good]], ids[j[good]]
         return
     for at, n in zip(starts, counts, strict=True):
@@ -197,7 +218,7 @@ def _pairs_of_buckets(t: pa.Table, turn: int) -> Iterator[tuple[np.ndarray, np.n
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for i, j in _apart(comp[s], part[s], lo[at] != hi[at]):
             near = _screen(sizes[s], sigs[s], i, j)
-            good = np.flatnonzero(near >= SCREEN)
+            good = np.flatnonzero(near)
             if turn == 3:
                 yield ids[s][i[good]], ids[s][j[good]]
                 continue
@@ -278,7 +299,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
-def _candidates(members: DataFrame, sets: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+def _fine(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, sig): the longer signatures of the documents of these ids."""
+    return _texts(docs, ids).mapInArrow(_sign_fine, "doc_id long, sig binary")
+
+
+def _candidates(docs: DataFrame, members: DataFrame, sets: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     """Distinct pairs (a, b) that may be linked, of the buckets that aren't yet within one component."""
     if found is None:
         labelled = members.withColumn("comp", F.col("doc_id"))
@@ -287,6 +313,9 @@ def _candidates(members: DataFrame, sets: DataFrame, found: DataFrame | None, tu
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         labelled = labelled.join(mixed, "key", "left_semi")
     own = labelled.groupBy("doc_id").agg(F.collect_list(F.struct("key", "n")).alias("own"), F.min("comp").alias("comp"))
+    if turn == 3:
+        own = materialize(own, "mixed")
+        sets = materialize(_fine(docs, own.select("doc_id")), "fine").join(sets.drop("sig"), "doc_id")
     rows = own.join(sets, "doc_id").select("doc_id", "comp", "n_shingles", "sig", F.inline("own"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
@@ -296,11 +325,16 @@ def _candidates(members: DataFrame, sets: DataFrame, found: DataFrame | None, tu
     return materialize(dealt.mapInArrow(_bucket_pairs(turn), "a long, b long").distinct(), "pairs")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents of these distinct ids."""
+    ids = F.broadcast(ids) if is_small(ids, MOST_BROADCAST) else ids
+    return docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if is_small(ids, MOST_BROADCAST) else ids
-    texts = materialize(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = materialize(_texts(docs, ids), "texts")
     read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return read.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
@@ -322,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = None
     for turn in (1, 2, 3):
-        links = _confirmed(docs, _candidates(members, signed_sets, found, turn))
+        links = _confirmed(docs, _candidates(docs, members, signed_sets, found, turn))
         if found is not None:
             links = links.union(found.where("component < doc_id").select(F.col("component").alias("a"), F.col("doc_id").alias("b")))
         found = components(links).select(F.col("node").alias("doc_id"), "component")
