@@ -19,7 +19,8 @@ Order of work:
    about one row a member and bucket, and still no pair is left out but those
    that links already join. The last turn compares longer signatures (``FINE``
    coordinates, of the texts in such buckets only), which tell a text that is
-   just short of a link to every member of a group from a linked one. Buckets
+   just short of a link to every member of a group from a linked one. After the
+   first turn, a pair is looked at in the first bucket it shares only. Buckets
    above ``BLOCK`` rows are dealt as pairs of blocks to many tasks, all pairs of
    blocks being visited;
 4. in each turn, the texts of candidates only are joined, the Jaccard similarity
@@ -44,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,12 +213,16 @@ def _pairs_of_buckets(t: pa.Table, turn: int) -> Iterator[tuple[np.ndarray, np.n
         good = np.flatnonzero(_screen(sizes, sigs, i, j) > 0)
         yield ids[i[good]], ids[j[good]]
         return
+    keys = pc.list_flatten(t.column("keys")).to_numpy().reshape(len(key), BANDS)
     for at, n in zip(starts, counts, strict=True):
         s = slice(at, at + n)
         if n < 2 or (comp[s] == comp[at]).all():
             continue
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for i, j in _apart(comp[s], part[s], lo[at] != hi[at]):
+            first = (keys[s][i] == keys[s][j]).argmax(1)
+            here = keys[s][i, first] == key[at]
+            i, j = i[here], j[here]
             near = _screen(sizes[s], sigs[s], i, j)
             good = np.flatnonzero(near)
             if turn == 3:
@@ -316,11 +322,12 @@ def _candidates(docs: DataFrame, members: DataFrame, sets: DataFrame, found: Dat
     if turn == 3:
         own = materialize(own, "mixed")
         sets = materialize(_fine(docs, own.select("doc_id")), "fine").join(sets.drop("sig"), "doc_id")
-    rows = own.join(sets, "doc_id").select("doc_id", "comp", "n_shingles", "sig", F.inline("own"))
+    with_keys = [] if turn == 1 else ["keys"]
+    rows = own.join(sets, "doc_id").select("doc_id", "comp", "n_shingles", "sig", *with_keys, F.inline("own"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "n_shingles", "comp", "sig")
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "n_shingles", "comp", "sig", *with_keys)
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc_id")
     return materialize(dealt.mapInArrow(_bucket_pairs(turn), "a long, b long").distinct(), "pairs")
 
@@ -352,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = unique.select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key"), "members")
-    signed_sets = unique.select("doc_id", "n_shingles", "sig")
+    signed_sets = unique.select("doc_id", "n_shingles", "sig", "keys")
 
     found = None
     for turn in (1, 2, 3):
