@@ -2,26 +2,35 @@
 
 Texts become templates: a number is one placeholder, a number with a unit behind
 it another, and a capitalised word (but not one all in capitals) inside a sentence is a name; all other words
-stay, lower-cased and without marks around them. Windows of ``WINDOW`` template
-tokens, of which at least ``LITERALS`` are words, are hashed. Windows of documents
-that no item has are dropped where they are made; the rest is hash-joined with
-the items' windows.
-
-Matches of a document and an item at one distance of positions are one
-alignment. Its slots must agree: wherever the item has the same value, so has the
+stay, case-folded and without marks around them. Windows of ``WINDOW`` template
+tokens, of which at least ``LITERALS`` are words, are hashed. So are windows of
+``WINDOW`` plain words, numbers and names among them by their value, whatever
+their case and however dense the placeholders; they meet where templates have no
+window. Of an item with fewer tokens than ``WINDOW`` the whole is one window.
+Windows of documents that no item has are dropped where they are made; the rest
+is hash-joined with the items' windows.
+
+Matches of a text and an item at one distance of positions are one alignment.
+Its slots must agree: wherever the item has the same value, so has the
 document. With all values equal it is ``exact``, with others ``reparameterised``;
-where one value of the item meets two of the document, the alignment is no hit.
-A hit has at least ``RUN`` windows, or half of the windows of a short item.
+where one value of the item meets two of the document, the alignment is no hit,
+nor is a part of it that is equal, but a whole item in plain words is. A hit has
+at least ``RUN`` windows, or half of the windows of a short item.
+
+Loss: where placeholders leave no window of a template, the item is found with
+its own values only.
 
 Sizes: up to ``MOST_HASHES`` distinct item windows (8 bytes each), their sorted
 hashes go to the workers; beyond that the join alone does the work. Passages that
 a third of the documents share cost one row a window and document, and their join
-key is spread by Spark's skew handling or a broadcast of a checked size.
-
-Defined results: null or short texts (fewer than ``WINDOW`` tokens), documents or
-items, have no windows and no hits. Rows of a null id count as one document or
-item. Repeated rows change nothing. Empty tables give no rows. Only id and text
-are read.
+key is spread by Spark's skew handling or a broadcast of a checked size. The
+common windows of one text and one item meet in one worker.
+
+Defined results: null texts and those without words, documents or items, have no
+windows and no hits. An item of one word is in every document that has the word.
+Rows of a null id count as one document or item; texts are compared one by one,
+and the best hit of an id counts. Repeated rows change nothing. Empty tables give
+no rows. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import batch, is_small, materialize, picked, slices
@@ -56,6 +65,9 @@ NUMBERS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*([^\W\d_]+|%)?")
 SKIP, WORD, NUMBER, UNIT, QUANTITY, NAME = range(6)
 _SLOT_HASH = np.array([0, 0, *(xxhash.xxh3_64_intdigest(k) for k in (b"<number>", b"<unit>", b"<quantity>", b"<name>"))], np.uint64)
+#: Kinds of windows; each has its own hashes.
+STREAMS = TEMPLATE, LITERAL = range(2)
+_SALT = np.array([[xxhash.xxh3_64_intdigest(bytes([s, k])) for k in range(WINDOW + 1)] for s in STREAMS], np.uint64)
 _PLACES = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(WINDOW)], np.uint64)
 
 
@@ -72,7 +84,7 @@ class _Tokens(dict):
     def __missing__(self, raw: str) -> int:
         k = len(self)
         bare = raw.strip(".,;:!?\"'()[]{}<>|*_`«»“”‘’…")
-        low = bare.lower()
+        low = bare.casefold()
         kind = WORD if low else SKIP
         if m := _NUMBER.fullmatch(low):
             kind = QUANTITY if m[1] and m[1] in UNITS else WORD if m[1] else NUMBER
@@ -96,70 +108,154 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each template token, whether it is a placeholder, hash of its value) of the whole text."""
+def sequences(text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of windows: (hash, whether it is a placeholder, hash of its value, number of its first word) of each token of the whole text."""
     at = _TOKENS.of((text or "").split())
-    own, kind = _TOKENS.hash[at], _TOKENS.kind[at].astype(np.int64)
-    start = np.r_[True, _TOKENS.ends[at][:-1]] if len(at) else np.zeros(0, bool)
+    own, kind, ends = _TOKENS.hash[at], _TOKENS.kind[at].astype(np.int64), _TOKENS.ends[at]
+    start = np.r_[True, ends[:-1]] if len(at) else np.zeros(0, bool)
+    word = kind != SKIP
+    plain = own[word]
     kind[(kind == WORD) & _TOKENS.capital[at] & ~start] = NAME
+    place = np.cumsum(word) - 1
     unit = np.flatnonzero((kind[1:] == UNIT) & (kind[:-1] == NUMBER)) + 1
     own[unit - 1] = own[unit - 1] * np.uint64(31) + own[unit]
     kind[unit - 1], kind[unit] = QUANTITY, SKIP
     kind[kind == UNIT] = WORD
     keep = kind != SKIP
-    own, kind = own[keep], kind[keep]
-    return np.where(kind == WORD, own, _SLOT_HASH[kind]), kind != WORD, own
+    own, kind, place = own[keep], kind[keep], place[keep]
+    slotted = np.where(kind == WORD, own, _SLOT_HASH[kind]), kind != WORD, own, place
+    return [slotted, slotted if len(own) == len(plain) and not slotted[1].any() else (plain, np.zeros(len(plain), bool), plain, np.arange(len(plain)))]
 
 
-def windows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position) of each window with enough words; and placeholder flags and values of all tokens."""
-    own, slot, value = template(text)
-    n = len(own) - WINDOW + 1
+def _hashes(own: np.ndarray, size: int) -> np.ndarray:
+    n = len(own) - size + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), slot, value
+        return np.empty(0, np.uint64)
+    own = own ^ (own >> np.uint64(29))
     h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        h += (own[k : k + n] ^ (own[k : k + n] >> np.uint64(29))) * _PLACES[k]
-    h ^= h >> np.uint64(32)
-    filled = np.r_[0, np.cumsum(slot)]
-    at = np.flatnonzero(filled[WINDOW:] - filled[:n] <= WINDOW - LITERALS)
-    return h[at], at, slot, value
-
-
-_ROWS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("vals", pa.list_(pa.int64()))])
-
-
-def _emit(known):
+    for k in range(size):
+        h += own[k : k + n] * _PLACES[k]
+    return h ^ (h >> np.uint64(32))
+
+
+def windows(text: str | None, sizes: list[set[int]] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple]]:
+    """(kind, size, hash, position, sequence) of the windows of each kind and size.
+
+    Without sizes as for an item: windows of ``WINDOW`` tokens, or the whole of a shorter one.
+    """
+    last = None
+    for stream, sequence in enumerate(sequences(text)):
+        own, slot = sequence[:2]
+        n = len(own)
+        if last is None or last[0] is not own:
+            last = own, {}
+        for size in sorted(sizes[stream] if sizes else {min(n, WINDOW)}):
+            if not 0 < size <= n:
+                continue
+            if size not in last[1]:
+                last[1][size] = _hashes(own, size)
+            h = last[1][size] ^ _SALT[stream][size]
+            if stream == LITERAL or not slot.any():
+                at = np.arange(len(h))
+                if stream != LITERAL and size < LITERALS:
+                    continue
+            else:
+                filled = np.r_[0, np.cumsum(slot)]
+                at = np.flatnonzero(filled[size:] - filled[: len(h)] <= size - LITERALS)
+            yield stream, size, h[at], at, sequence
+
+
+_ROWS = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("stream", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("pos", pa.int32()), ("place", pa.int32()), ("vals", pa.list_(pa.int64()))])
+_SEEN_BITS = np.uint64((1 << 20) - 1)
+
+
+def _emit(known, sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = known.value if known is not None else None
+        if wanted is not None:
+            maybe = np.zeros(int(_SEEN_BITS) + 1, bool)  # most windows are told from the wanted ones by 20 bits
+            maybe[wanted.view(np.uint64) & _SEEN_BITS] = True
         for b in slices(batches, 500):
-            ids, hs, poss, vals = [], [], [], []
+            out = {f.name: [] for f in _ROWS}
             for i, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                h, pos, slot, value = windows(text.as_py())
-                h = h.view(np.int64)
-                if wanted is not None and len(h):
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    h, pos = h[hit], pos[hit]
-                if len(h):
-                    filled = np.where(slot, value.view(np.int64), 0)
-                    ids += [i] * len(h)
-                    hs.append(h)
-                    poss.append(pos)
-                    vals += [filled[p : p + WINDOW] for p in pos]
-            if ids:
-                own = pa.ListArray.from_arrays(pa.array(np.arange(len(vals) + 1) * WINDOW, pa.int32()), pa.array(np.concatenate(vals)))
-                yield batch({"id": ids, "h": np.concatenate(hs), "pos": np.concatenate(poss).astype(np.int32), "vals": own}, _ROWS)
+                text = text.as_py()
+                digest = None
+                for stream, size, h, pos, (_, slot, value, place) in windows(text, sizes):
+                    n = len(h)
+                    if wanted is not None:
+                        hit = np.flatnonzero(maybe[h & _SEEN_BITS])
+                        own = h[hit].view(np.int64)
+                        hit = hit[wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own]
+                        h, pos = h[hit], pos[hit]
+                    if not len(h):
+                        continue
+                    if digest is None:
+                        digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    filled = np.r_[np.where(slot, value.view(np.int64), 0), np.zeros(WINDOW, np.int64)]
+                    vals = filled[pos[:, None] + np.arange(WINDOW)]
+                    vals[:, size:] = 0
+                    for name, v in (("id", [i]), ("digest", [digest]), ("stream", [stream]), ("size", [size]), ("n", [n])):
+                        out[name] += v * len(h)
+                    for name, v in (("h", h.view(np.int64)), ("pos", pos), ("place", place[pos]), ("vals", vals.ravel())):
+                        out[name].append(v)
+            if out["id"]:
+                vals = pa.ListArray.from_arrays(pa.array(np.arange(len(out["id"]) + 1) * WINDOW, pa.int32()), pa.array(np.concatenate(out["vals"])))
+                yield batch(out | {"h": np.concatenate(out["h"]), "pos": np.concatenate(out["pos"]).astype(np.int32), "place": np.concatenate(out["place"]).astype(np.int32), "vals": vals}, _ROWS)
 
     return run
 
 
-def _windowed(df: DataFrame, known=None) -> DataFrame:
-    return df.mapInArrow(_emit(known), "id long, h long, pos int, vals array<long>")
-
-
-def _slots(item: Column, own: Column) -> Column:
-    """(item's value, document's value) of the window's placeholders."""
-    return F.filter(F.zip_with(item, own, lambda x, y: F.struct(x.alias("item"), y.alias("own"))), lambda p: p["item"] != 0)
+def _windowed(df: DataFrame, known=None, sizes: list[set[int]] | None = None) -> DataFrame:
+    return df.mapInArrow(_emit(known, sizes), "id long, digest long, stream int, size int, n int, h long, pos int, place int, vals array<long>")
+
+
+_HITS = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("stream", pa.int32()), ("n_changed", pa.int64()), ("left", pa.int32()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("n_slots", pa.int64())])
+
+
+def _agreeing(item: np.ndarray, own: np.ndarray) -> tuple[bool, int, int]:
+    """(whether each value of the item meets one of the document, distinct values, how many of them differ)."""
+    filled = item != 0
+    pairs = np.unique(np.stack([item[filled], own[filled]], 1), axis=0)
+    n = len(np.unique(pairs[:, 0]))
+    return n == len(pairs), n, int((pairs[:, 0] != pairs[:, 1]).sum())
+
+
+def _best(key: tuple, rows: pa.Table) -> pa.Table:
+    """The best hit of one text and one item, from their common windows."""
+    col = {c: rows.column(c).to_numpy() for c in ("stream", "n", "item_pos", "pos", "place")}
+    vals, item_vals = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, WINDOW) for c in ("vals", "item_vals"))
+    uneven, hits = [], []
+    for stream in STREAMS:
+        at = np.flatnonzero(col["stream"] == stream)
+        if not len(at):
+            continue
+        shift = col["pos"][at] - col["item_pos"][at]
+        order = np.argsort(shift, kind="stable")
+        at, shift = at[order], shift[order]
+        n_item = int(col["n"][at[0]])
+        need = min(RUN, -int(-n_item * SHARE // 1))
+        shifts, begin = np.unique(shift, return_index=True)
+        end = np.r_[begin[1:], len(at)]
+        for left, lo, hi in zip(shifts, begin, end, strict=True):
+            if hi - lo < need:
+                continue
+            some = at[lo:hi]
+            n_windows = len(np.unique(col["item_pos"][some]))
+            if n_windows < need:
+                continue
+            agree, n_slots, n_changed = _agreeing(item_vals[some].ravel(), vals[some].ravel())
+            covers = int(col["place"][some].min()), int(col["place"][some].max()) + WINDOW
+            if agree:
+                hits.append(((n_windows / n_item, -stream, -n_changed, -int(left)), n_windows, n_item, n_slots, covers))
+            elif stream == TEMPLATE:
+                uneven.append(covers)
+    # A part that is equal in an alignment whose values disagree makes no hit; a whole item does.
+    hits = [h for h in hits if h[0][1] == -TEMPLATE or h[0][0] == 1 or not any(a < h[4][1] and h[4][0] < b for a, b in uneven)]
+    if not hits:
+        return _HITS.empty_table()
+    (coverage, stream, same, left), n_windows, n_item, n_slots, _ = max(hits)
+    own = key[0].as_py(), key[2].as_py(), coverage, -stream, -same, -left, n_windows, n_item, n_slots
+    return pa.table({f.name: pa.array([v], f.type) for f, v in zip(_HITS, own, strict=True)})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -167,32 +263,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     docs = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     items = picked(benchmark, id=item_col, text=item_text).withColumn("id", F.col("id").cast("long"))
-    items = materialize(_windowed(items).dropDuplicates(["id", "pos", "h"]), "items").select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("vals").alias("item_vals"))
+    items = materialize(_windowed(items).dropDuplicates(["id", "digest", "stream", "pos"]), "items")
+    sizes = [set() for _ in STREAMS]
+    for stream, size in items.select("stream", "size").distinct().collect():
+        sizes[stream].add(size)
+    items = items.select(F.col("id").alias("item_id"), F.col("digest").alias("item_digest"), "stream", "n", "h", F.col("pos").alias("item_pos"), F.col("vals").alias("item_vals"))
     hashes = items.select("h").distinct()
     known = None
     if is_small(hashes, MOST_HASHES):
         known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes.collect()], np.int64)))
         if not len(known.value):
             docs = docs.where("false")
-    found = _windowed(docs, known).join(items, "h")
-    found = found.groupBy("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count_distinct("item_pos").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(_slots(F.col("item_vals"), F.col("vals"))))).alias("slots"),
+    found = _windowed(docs, known, sizes).select("id", "digest", "h", "pos", "place", "vals").join(items, "h").drop("h")
+    keys = ["id", "digest", "item_id", "item_digest"]
+    hits = found.repartition(*keys).distinct().groupBy(*keys).applyInArrow(
+        _best, "id long, item_id long, coverage double, stream int, n_changed long, left int, n_windows long, item_windows long, n_slots long"
     )
-    of_item = items.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
-    found = found.join(of_item, found["item_id"].eqNullSafe(of_item["item_id"])).drop(of_item["item_id"])
-    n_values = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"])))
-    n_changed = F.size(F.filter("slots", lambda p: p["item"] != p["own"]))
-    hits = found.where((n_values == F.size("slots")) & (F.col("n_windows") >= F.least(F.lit(RUN), F.ceil(F.col("item_windows") * SHARE))))
-    best = hits.select("id", "item_id", F.struct("n_windows", (-n_changed).alias("same"), (-F.col("shift")).alias("left"), "item_windows", n_values.alias("n_slots")).alias("one"))
+    best = hits.select("id", "item_id", F.struct("coverage", (-F.col("stream")).alias("strict"), (-F.col("n_changed")).alias("same"), (-F.col("left")).alias("near"), "n_windows", "item_windows", "n_slots", "n_changed").alias("one"))
     best = best.groupBy("id", "item_id").agg(F.max("one").alias("one"))
     return best.select(
         F.col("id").alias("doc_id"),
         "item_id",
         "one.n_windows",
         "one.item_windows",
-        (F.col("one.n_windows") / F.col("one.item_windows")).alias("coverage"),
-        F.col("one.n_slots").cast("long").alias("n_slots"),
-        (-F.col("one.same")).cast("long").alias("n_changed"),
-        F.when(F.col("one.same") == 0, "exact").otherwise("reparameterised").alias("kind"),
+        "one.coverage",
+        "one.n_slots",
+        "one.n_changed",
+        F.when(F.col("one.n_changed") == 0, "exact").otherwise("reparameterised").alias("kind"),
     )

@@ -299,6 +299,16 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs(spark, rows), items.where("false")).count() == 0
 
 
+def test_contaminated_items_without_template_windows(spark):
+    """Short items and items dense with numbers and names are found verbatim."""
+    dense = "Do Tom, Ann, Bob and Eve have 12, 15, 18 and 21 marbles?"
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, dense), (3, "12 apples"), (4, None), (5, "...")], "item_id long, text string")
+    filler = " ".join(words(40, 5))
+    rows = [(1, f"{filler}. What is the capital of France? {filler}"), (2, f"{filler} {dense} {filler}"), (3, f"room 5 12 apples {filler}"), (4, filler), (5, "12 pears")]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(1, 1, "exact"), (2, 2, "exact"), (3, 3, "exact")}
+
+
 def test_contaminated_without_hash_set(spark, monkeypatch):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     rows = [(1, f"x y z. {ITEM}"), (2, "nothing here " * 10)]
