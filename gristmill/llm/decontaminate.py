@@ -3,9 +3,10 @@
 Texts become templates: a number is one placeholder, a number with a unit behind
 it another, and a capitalised word (but not one all in capitals) inside a sentence is a name; all other words
 stay, case-folded and without marks around them. Windows of ``WINDOW`` template
-tokens, of which at least ``LITERALS`` are words, are hashed. So are windows of
-``WINDOW`` plain words, numbers and names among them by their value, whatever
-their case and however dense the placeholders; they meet where templates have no
+tokens, of which at least ``LITERALS`` are words, are hashed. As names are told by
+their case, so are windows of templates without names, for copies in other case.
+And so are windows of ``WINDOW`` plain words, numbers and names among them by
+their value, however dense the placeholders; they meet where templates have no
 window. Of an item with fewer tokens than ``WINDOW`` the whole is one window.
 Windows of documents that no item has are dropped where they are made; the rest
 is hash-joined with the items' windows.
@@ -66,7 +67,7 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*([^\W\d_]+|%)?")
 SKIP, WORD, NUMBER, UNIT, QUANTITY, NAME = range(6)
 _SLOT_HASH = np.array([0, 0, *(xxhash.xxh3_64_intdigest(k) for k in (b"<number>", b"<unit>", b"<quantity>", b"<name>"))], np.uint64)
 #: Kinds of windows; each has its own hashes.
-STREAMS = TEMPLATE, LITERAL = range(2)
+STREAMS = TEMPLATE, CASELESS, LITERAL = range(3)
 _SALT = np.array([[xxhash.xxh3_64_intdigest(bytes([s, k])) for k in range(WINDOW + 1)] for s in STREAMS], np.uint64)
 _PLACES = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(WINDOW)], np.uint64)
 
@@ -108,6 +109,10 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
+def _slotted(own: np.ndarray, kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.where(kind == WORD, own, _SLOT_HASH[kind]), kind != WORD, own, place
+
+
 def sequences(text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind of windows: (hash, whether it is a placeholder, hash of its value, number of its first word) of each token of the whole text."""
     at = _TOKENS.of((text or "").split())
@@ -123,8 +128,10 @@ def sequences(text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     kind[kind == UNIT] = WORD
     keep = kind != SKIP
     own, kind, place = own[keep], kind[keep], place[keep]
-    slotted = np.where(kind == WORD, own, _SLOT_HASH[kind]), kind != WORD, own, place
-    return [slotted, slotted if len(own) == len(plain) and not slotted[1].any() else (plain, np.zeros(len(plain), bool), plain, np.arange(len(plain)))]
+    template = _slotted(own, kind, place)
+    caseless = _slotted(own, np.where(kind == NAME, WORD, kind), place) if (kind == NAME).any() else template
+    literal = caseless if len(own) == len(plain) and not caseless[1].any() else (plain, np.zeros(len(plain), bool), plain, np.arange(len(plain)))
+    return [template, caseless, literal]
 
 
 def _hashes(own: np.ndarray, size: int) -> np.ndarray:
@@ -247,10 +254,10 @@ def _best(key: tuple, rows: pa.Table) -> pa.Table:
             covers = int(col["place"][some].min()), int(col["place"][some].max()) + WINDOW
             if agree:
                 hits.append(((n_windows / n_item, -stream, -n_changed, -int(left)), n_windows, n_item, n_slots, covers))
-            elif stream == TEMPLATE:
+            elif stream != LITERAL:
                 uneven.append(covers)
     # A part that is equal in an alignment whose values disagree makes no hit; a whole item does.
-    hits = [h for h in hits if h[0][1] == -TEMPLATE or h[0][0] == 1 or not any(a < h[4][1] and h[4][0] < b for a, b in uneven)]
+    hits = [h for h in hits if h[0][1] == -TEMPLATE or h[0][:2] == (1, -LITERAL) or not any(a < h[4][1] and h[4][0] < b for a, b in uneven)]
     if not hits:
         return _HITS.empty_table()
     (coverage, stream, same, left), n_windows, n_item, n_slots, _ = max(hits)

@@ -309,6 +309,16 @@ def test_contaminated_items_without_template_windows(spark):
     assert got == {(1, 1, "exact"), (2, 2, "exact"), (3, 3, "exact")}
 
 
+def test_contaminated_in_other_case(spark):
+    """Copies in other case are found, also with other numbers in them; uneven ones aren't."""
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    other = ITEM.replace("60", "75")
+    uneven = ITEM.replace("60", "75", 1).upper()
+    rows = [(1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.title()), (4, other.upper()), (5, other.lower()), (6, uneven)]
+    got = {r["doc_id"]: (r["kind"], r["n_changed"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {1: ("exact", 0), 2: ("exact", 0), 3: ("exact", 0), 4: ("reparameterised", 1), 5: ("reparameterised", 1)}
+
+
 def test_contaminated_without_hash_set(spark, monkeypatch):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     rows = [(1, f"x y z. {ITEM}"), (2, "nothing here " * 10)]
