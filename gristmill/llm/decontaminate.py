@@ -1,8 +1,8 @@
 """Benchmark items in documents, also with other numbers, names and units in them.
 
 Texts become templates: a number is one placeholder, a number with a unit behind
-it another, and a capitalised word (but not one all in capitals) inside a sentence is a name; all other words
-stay, case-folded and without marks around them. Windows of ``WINDOW`` template
+it another, and a capitalised word (but not one all in capitals) inside a sentence is a name;
+neighbours of one kind are one placeholder; all other words stay, case-folded and without marks around them. Windows of ``WINDOW`` template
 tokens, of which at least ``LITERALS`` are words, are hashed. As names are told by
 their case, so are windows of templates without names, for copies in other case.
 And so are windows of ``WINDOW`` plain words, numbers and names among them by
@@ -11,7 +11,8 @@ window. Of an item with fewer tokens than ``WINDOW`` the whole is one window.
 Windows of documents that no item has are dropped where they are made; the rest
 is hash-joined with the items' windows.
 
-Matches of a text and an item at one distance of positions are one alignment.
+Matches of a text and an item at one distance of positions are one alignment, and
+so are those at distances up to ``DRIFT`` apart, for values of other lengths.
 Its slots must agree: wherever the item has the same value, so has the
 document. With all values equal it is ``exact``, with others ``reparameterised``;
 where one value of the item meets two of the document, the alignment is no hit,
@@ -36,6 +37,7 @@ no rows. Only id and text are read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -49,6 +51,7 @@ from gristmill.llm.common import batch, is_small, materialize, picked, slices
 
 WINDOW, LITERALS = 8, 5
 RUN, SHARE = 6, 0.5
+DRIFT = 4
 MOST_HASHES = 2_000_000
 CACHE = 200_000
 
@@ -109,8 +112,17 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def _slotted(own: np.ndarray, kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.where(kind == WORD, own, _SLOT_HASH[kind]), kind != WORD, own, place
+def _slotted(own: np.ndarray, kind: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens with neighbours of one kind of placeholder, within a sentence, as one."""
+    slot = kind != WORD
+    joins = slot[1:] & ~ends[:-1] & ((kind[1:] == kind[:-1]) | ((kind[1:] == QUANTITY) & (kind[:-1] == NUMBER)))
+    if joins.any():
+        first = np.flatnonzero(np.r_[True, ~joins])
+        behind = np.arange(len(kind)) - np.repeat(first, np.diff(np.r_[first, len(kind)]))
+        own = np.add.reduceat(own * np.power(np.uint64(31), behind.astype(np.uint64)), first)
+        kind, place = kind[np.r_[first[1:], len(kind)] - 1], place[first]
+        slot = kind != WORD
+    return np.where(slot, _SLOT_HASH[kind], own), slot, own, place
 
 
 def sequences(text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,9 +139,10 @@ def sequences(text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     kind[unit - 1], kind[unit] = QUANTITY, SKIP
     kind[kind == UNIT] = WORD
     keep = kind != SKIP
-    own, kind, place = own[keep], kind[keep], place[keep]
-    template = _slotted(own, kind, place)
-    caseless = _slotted(own, np.where(kind == NAME, WORD, kind), place) if (kind == NAME).any() else template
+    ends[unit - 1] |= ends[unit]
+    own, kind, ends, place = own[keep], kind[keep], ends[keep], place[keep]
+    template = _slotted(own, kind, ends, place)
+    caseless = _slotted(own, np.where(kind == NAME, WORD, kind), ends, place) if (kind == NAME).any() else template
     literal = caseless if len(own) == len(plain) and not caseless[1].any() else (plain, np.zeros(len(plain), bool), plain, np.arange(len(plain)))
     return [template, caseless, literal]
 
@@ -243,7 +256,10 @@ def _best(key: tuple, rows: pa.Table) -> pa.Table:
         need = min(RUN, -int(-n_item * SHARE // 1))
         shifts, begin = np.unique(shift, return_index=True)
         end = np.r_[begin[1:], len(at)]
-        for left, lo, hi in zip(shifts, begin, end, strict=True):
+        last = end[np.searchsorted(shifts, shifts + DRIFT, "right") - 1]
+        alone = zip(shifts, begin, end, itertools.repeat(False))
+        pooled = ((left, lo, hi, True) for left, lo, hi, own in zip(shifts, begin, last, end, strict=True) if hi > own)
+        for left, lo, hi, pool in itertools.chain(alone, pooled):
             if hi - lo < need:
                 continue
             some = at[lo:hi]
@@ -254,7 +270,7 @@ def _best(key: tuple, rows: pa.Table) -> pa.Table:
             covers = int(col["place"][some].min()), int(col["place"][some].max()) + WINDOW
             if agree:
                 hits.append(((n_windows / n_item, -stream, -n_changed, -int(left)), n_windows, n_item, n_slots, covers))
-            elif stream != LITERAL:
+            elif stream != LITERAL and not pool:
                 uneven.append(covers)
     # A part that is equal in an alignment whose values disagree makes no hit; a whole item does.
     hits = [h for h in hits if h[0][1] == -TEMPLATE or h[0][:2] == (1, -LITERAL) or not any(a < h[4][1] and h[4][0] < b for a, b in uneven)]

@@ -319,6 +319,25 @@ def test_contaminated_in_other_case(spark):
     assert got == {1: ("exact", 0), 2: ("exact", 0), 3: ("exact", 0), 4: ("reparameterised", 1), 5: ("reparameterised", 1)}
 
 
+def test_contaminated_with_values_of_other_lengths(spark):
+    long = "the old farmer counts his red apples near a barn where 65 grey geese walk along slowly toward cold quiet water"
+    anna = "early this morning the baker told Anna that fresh bread would not be ready before noon because of rain"
+    items = spark.createDataFrame([(1, long), (2, anna)], "item_id long, text string")
+    rows = [(1, long.replace("65", "sixty five")), (2, long.replace("65", "1 000")), (3, long.replace("65", "one hundred and five")), (4, anna.replace("Anna", "Anna Maria"))]
+    rows += [(5, " ".join(words(40, 5)))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 2)}
+
+
+def test_long_item_pools_neighbouring_distances(spark):
+    """15 windows; 4 of them agree at one distance and 3 at the next."""
+    own = words(22, 10)
+    assert len(set(own)) == 22
+    items = spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")
+    rows = [(1, " ".join([*own[:11], "new", "value", *own[12:]])), (2, " ".join([*own[:11], *words(200, 11), *own[12:]]))]
+    assert [r["doc_id"] for r in decontaminate.contaminated(docs(spark, rows), items).collect()] == [1]
+
+
 def test_contaminated_without_hash_set(spark, monkeypatch):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     rows = [(1, f"x y z. {ITEM}"), (2, "nothing here " * 10)]
