@@ -1,7 +1,7 @@
 """All visible text of HTML pages, laid out: blocks, lists and aligned tables.
 
 A forgiving tree builder closes what HTML lets one leave open (a paragraph before
-a block, a list item before the next, table rows and cells), drops end tags that
+a block, a list item before the next, table rows and cells, the head), drops end tags that
 match nothing and closes what is open inside an element that ends. Not shown are
 the head, scripts, styles and the like, elements with ``hidden`` and those that
 inline styles hide. Then each block is rendered to lines: white space collapses
@@ -49,6 +49,8 @@ IMPLIED = {
     "option": (frozenset({"option"}), frozenset({"select"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: What may be in a head; any other start tag and text close it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: An end tag doesn't reach across these.
 FENCE = frozenset({"table", "td", "th"})
 
@@ -97,17 +99,24 @@ def parse(page: str) -> Node:
                 del stack[outer:]
                 break
 
+    def text(s: str) -> None:
+        if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].children.append(html.unescape(s))
+
     while at < size:
         m = _TAG.search(page, at)
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            text(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            text(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
+                if stack[-1].tag == "head":
+                    stack.pop()
                 stack[-1].children.append(Node("br"))
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -119,6 +128,10 @@ def parse(page: str) -> Node:
             tag = m[2].lower()
             if tag in ("html", "body") and tag == "html":
                 continue
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
+                if tag == "head":
+                    continue
+                stack.pop()
             if tag in CLOSES_P:
                 close(frozenset({"p"}), frozenset({"table", "td", "th", "button"}))
             if tag in IMPLIED:

@@ -397,6 +397,17 @@ def test_html(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><p>Hello", "Hello"), ("<head>\n<meta charset=x>\nHello <b>you</b>", "Hello you"), ("<head><title>t</title><header>top</header>x", "top\nx"),
+        ("<head><noscript><p>no</noscript><template><p>no</template><style>p{}</style><body>yes", "yes"), ("<head><title>t</title></head>yes", "yes"),
+    ],
+)
+def test_html_open_head(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (1, "<p>x", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract(df).select("page_id", "text").collect()) == [(1, "x"), (1, "x"), (2, "")]
