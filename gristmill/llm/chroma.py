@@ -6,13 +6,16 @@ semitone). Over the integral image of these, 16 box filters compare sums of
 neighbouring rectangles; each gives two bits by Gray code, so every position has
 one packed 32-bit integer.
 
-Recordings of equal fingerprints are one class, addressed by its least id. For
-the queries' classes, equal integers are looked up in the postings of all
-classes; votes by offset give the likeliest alignment of two classes, and the
-share of differing bits over the overlap decides. A class is a row however many
-copies it has, so copies aren't joined with each other.
-
-Frames of silence carry nothing and have no posting. Recordings with fewer frames
+Recordings of equal fingerprints are one class, addressed by its least id. The
+queries' classes are laid over all classes at every offset, in blocks of both;
+the share of differing bits over the overlap decides. Of the offsets that match,
+the one with most equal integers (votes) is given, of these the one with fewest
+differing bits. Whoever matches is found: with clips of ten positions an index of
+equal integers or parts of them misses matches or meets nearly every pair. The
+work is queries times classes. A class is a row however many copies it has, so
+copies aren't joined with each other.
+
+Frames of silence carry nothing: an overlap needs a position where both sound. Recordings with fewer frames
 than the filters are wide have no fingerprint, no class but their own, and match
 nothing; so have null ones. Rows of a null id are left out. Repeated rows are
 rows of one class. Only the id and the samples are read.
@@ -35,6 +38,7 @@ from gristmill.llm.common import batch, materialize, picked, slices
 
 BIT_ERROR = 0.2
 LEAST_OVERLAP = 4
+BLOCK = 40_000
 QUERY_STEP = 50
 LOWEST, CONCERT_A = 27.5, 440.0
 #: Filters: kind (which halves or thirds are compared), first pitch class, height, width, by rule.
@@ -133,15 +137,50 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     return float(np.bitwise_count(x).sum() / (32 * (hi - lo)))
 
 
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matches(x: np.ndarray, sound: np.ndarray, others: np.ndarray, others_sound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of others, offset, votes, bit error) of the others, all of one length, that match x at some offset."""
+    n, size = others.shape
+    best = np.full(n, -1.0)
+    offset, votes, error = np.zeros(n, np.int32), np.zeros(n, np.int64), np.ones(n)
+    for k in sorted(range(LEAST_OVERLAP - len(x), size - LEAST_OVERLAP + 1), key=lambda k: (abs(k), k)):
+        lo, hi = max(0, k), min(size, len(x) + k)
+        if hi - lo < LEAST_OVERLAP:
+            continue
+        differ = np.bitwise_count(others[:, lo:hi] ^ x[lo - k : hi - k])
+        e = differ.sum(1, dtype=np.int64) / (32 * (hi - lo))
+        at = np.flatnonzero(e <= BIT_ERROR)
+        both = others_sound[at, lo:hi] & sound[lo - k : hi - k]
+        at, both = at[heard := both.any(1)], both[heard]
+        v = ((differ[at] == 0) & both).sum(1)
+        rank = v + 1 - e[at]
+        better = rank > best[at]
+        at = at[better]
+        best[at], offset[at], votes[at], error[at] = rank[better], k, v[better], e[at]
+    found = np.flatnonzero(best >= 0)
+    return found, offset[found], votes[found], error[found]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for q, m, offset, votes, x, y in zip(*(b.column(c) for c in ("query_class", "match_class", "offset", "votes", "x", "y")), strict=True):
-            e = bit_error(np.array(x.as_py(), np.int32), np.array(y.as_py(), np.int32), offset.as_py())
-            if e <= BIT_ERROR:
-                rows.append((q.as_py(), m.as_py(), offset.as_py(), votes.as_py(), e))
-        if rows:
-            yield batch(dict(zip(_ERRORS.names, zip(*rows, strict=True), strict=True)), _ERRORS)
+        for asked, classes in zip(b.column("asked"), b.column("classes"), strict=True):
+            by_size: dict[int, list] = {}
+            for c in classes.as_py():
+                by_size.setdefault(len(c["print"]), []).append(c)
+            groups = [(np.array([c["class_id"] for c in own]), np.array([c["print"] for c in own], np.int32).view(np.uint32), np.array([c["sound"] for c in own], bool)) for own in by_size.values()]
+            for q in asked.as_py():
+                x, sound = np.array(q["print"], np.int32).view(np.uint32), np.array(q["sound"], bool)
+                for ids, prints, heard in groups:
+                    at, offset, votes, error = matches(x, sound, prints, heard)
+                    own = ids[at] != q["class_id"]
+                    if own.any():
+                        yield batch({"query_class": np.full(own.sum(), q["class_id"]), "match_class": ids[at][own], "offset": offset[own], "votes": votes[own], "bit_error": error[own]}, _ERRORS)
+
+
+def _blocks(classes: DataFrame, name: str) -> DataFrame:
+    """The classes dealt by id into rows of about ``BLOCK`` positions each."""
+    n = max(1, (classes.agg(F.sum(F.size("print"))).first()[0] or 0) // BLOCK)
+    rows = classes.groupBy(F.pmod(F.xxhash64("class_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("class_id", "print", "sound")).alias(name))
+    return rows.select(name)
 
 
 def align(recordings: DataFrame, id_col: str, samples_col: str, audio: Audio, query_step: int = QUERY_STEP) -> tuple[DataFrame, DataFrame]:
@@ -154,11 +193,7 @@ def align(recordings: DataFrame, id_col: str, samples_col: str, audio: Audio, qu
     classes = some.groupBy("print").agg(F.min("id").alias("class_id"), F.max((F.col("id") % query_step == 0)).alias("asked"), F.first("sound").alias("sound"))
     classes = materialize(classes, "classes")
     members = prints.select("id", "print").join(classes.select("print", "class_id"), "print", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    posted = classes.select("class_id", "asked", "sound", F.posexplode("print").alias("pos", "value")).where("sound[pos]").select("class_id", "asked", "pos", "value")
-    asked = posted.where("asked").select(F.col("class_id").alias("query_class"), F.col("pos").alias("at"), "value")
-    votes = asked.join(posted.select(F.col("class_id").alias("match_class"), "pos", "value"), "value").where("query_class <> match_class")
-    votes = votes.groupBy("query_class", "match_class", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query_class", "match_class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("one")).select("query_class", "match_class", "one.offset", "one.votes")
-    pair = best.join(classes.select(F.col("class_id").alias("query_class"), F.col("print").alias("x")), "query_class")
-    pair = pair.join(classes.select(F.col("class_id").alias("match_class"), F.col("print").alias("y")), "match_class")
-    return members, pair.mapInArrow(_errors, "query_class long, match_class long, offset int, votes long, bit_error double")
+    tasks = 4 * classes.sparkSession.sparkContext.defaultParallelism
+    blocks = materialize(_blocks(classes, "classes"), "blocks").repartition(tasks)
+    pairs = blocks.crossJoin(materialize(_blocks(classes.where("asked"), "asked"), "asked"))
+    return members, pairs.mapInArrow(_compare, "query_class long, match_class long, offset int, votes long, bit_error double")

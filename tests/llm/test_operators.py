@@ -440,6 +440,26 @@ def test_chroma_aligns(spark):
     assert best == -20
 
 
+def test_chroma_finds_what_brute_force_finds(spark, folder, monkeypatch):
+    """On the registered clips, every pair within BIT_ERROR at some offset, over more than one block."""
+    monkeypatch.setattr(chroma, "BLOCK", 1_500)
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").limit(400).localCheckpoint()
+    got = {(m["query_class"], m["match_class"]): m for m in chroma.align(rows, "vec_id", "embedding", chroma.SHORT)[1].collect()}
+    prints = {}
+    for r in rows.collect():
+        p = chroma.fingerprint(np.array(r["embedding"] or [], float), chroma.SHORT)[0].view(np.int32)
+        if len(p):
+            prints.setdefault(p.tobytes(), (r["vec_id"], p))
+    asked = [(i, p) for i, p in prints.values() if i % chroma.QUERY_STEP == 0]
+    want = {}
+    for i, p in asked:
+        for j, other in prints.values():
+            if i != j and (e := min(chroma.bit_error(p, other, k) for k in range(-10, 11))) <= chroma.BIT_ERROR:
+                want[i, j] = e
+    assert set(got) == set(want) and len(want) > 50
+    assert all(m["bit_error"] >= want[k] and m["bit_error"] == chroma.bit_error(*(next(p for i, p in prints.values() if i == x) for x in k), m["offset"]) for k, m in got.items())
+
+
 # all -------------------------------------------------------------------------------------------------------------
 
 
