@@ -4,7 +4,8 @@ A forgiving tree builder closes what HTML lets one leave open (a paragraph befor
 a block, a list item before the next, table rows and cells, the head), drops end tags that
 match nothing and closes what is open inside an element that ends. Not shown are
 the head, scripts, styles and the like, elements with ``hidden`` and those that
-inline styles hide. Then each block is rendered to lines: white space collapses
+inline styles hide. Formulas, the text of drawings and all options of a choice are
+shown, but not their annotations, descriptions and definitions. Then each block is rendered to lines: white space collapses
 outside ``pre``, paragraphs, headings, lists and tables stand apart by an empty
 line, list items have their mark and hang from it, and table cells are padded to
 the width of their column.
@@ -30,12 +31,19 @@ DEEPEST, WIDEST = 150, 80
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select meta link".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist meta link".split())
+#: Not shown inside drawings and formulas.
+FOREIGN = {
+    "svg": frozenset("desc defs metadata symbol clippath mask marker pattern filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: Inline, but apart from their neighbours.
+SPACED = frozenset("select option optgroup text mtr mtd".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
-    "legend li main menu nav ol p pre section summary table ul caption tr td th thead tbody tfoot".split()
+    "legend li main menu nav ol p pre section summary xmp table ul caption tr td th thead tbody tfoot".split()
 )
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre article section figure fieldset".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre xmp article section figure fieldset".split())
 CLOSES_P = BLOCK - frozenset("body html caption tr td th thead tbody tfoot".split())
 #: What a start tag closes, if open and not behind the bound.
 IMPLIED = {
@@ -47,6 +55,7 @@ IMPLIED = {
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}), frozenset({"table"}))),
     "option": (frozenset({"option"}), frozenset({"select"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
     "body": (frozenset({"head"}), frozenset()),
 }
 #: What may be in a head; any other start tag and text close it.
@@ -62,10 +71,10 @@ _BREAK = "\x00"
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "drawn")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.drawn = tag, attributes, [], True
 
     def attribute(self, name: str) -> str | None:
         for k, v in _ATTRIBUTE.findall(self.attributes):
@@ -75,7 +84,7 @@ class Node:
 
     @property
     def seen(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.tag in UNSEEN or not self.drawn:
             return False
         if not self.attributes or self.attributes.isspace():
             return True
@@ -137,12 +146,14 @@ def parse(page: str) -> Node:
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             node = Node(tag, m[3])
+            foreign = next((n.tag for n in reversed(stack) if n.tag in FOREIGN), None)
+            node.drawn = foreign is None or tag not in FOREIGN[foreign]
             stack[-1].children.append(node)
-            if tag in RAW:
+            if tag in RAW and not (foreign and m[3].rstrip().endswith("/")):
                 end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
                 stop = end.start() if end else size
-                if tag == "textarea" and stop > at:
-                    node.children.append(html.unescape(page[at:stop]))
+                if tag in ("textarea", "xmp") and stop > at:
+                    node.children.append(html.unescape(page[at:stop]) if tag == "textarea" else page[at:stop])
                 at = stop if end else size
                 if end:
                     at = page.find(">", stop) + 1 or size
@@ -203,7 +214,7 @@ def _render(node: Node) -> list[str]:
                 out.flush()
                 if c.tag in APART and not (c.tag in ("ul", "ol", "menu") and node.tag == "li"):
                     out.apart()
-                if c.tag == "pre":
+                if c.tag in ("pre", "xmp"):
                     out.add(_plain(c).strip("\n").split("\n"))
                 elif c.tag == "table":
                     out.add(_table(c))
@@ -218,6 +229,12 @@ def _render(node: Node) -> list[str]:
                     out.add(_render(c))
                 if c.tag in APART and not (c.tag in ("ul", "ol", "menu") and node.tag == "li"):
                     out.apart()
+            elif c.tag in SPACED:
+                label = c.attribute("label") if c.tag in ("option", "optgroup") else None
+                out.text(f" {label or ''} ")
+                if not label or c.tag == "optgroup":
+                    walk(c.children)
+                out.text(" ")
             else:
                 walk(c.children)
 

@@ -408,6 +408,19 @@ def test_html_open_head(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style/><text>North</text><text>South</text></svg> tail", "North South tail"),
+        ("<p>Pick <select><optgroup label=Fruit><option>red apple<option>pear</select> now", "Pick Fruit red apple pear now"),
+        ("a<xmp>  <b>raw</b> &amp;</xmp>c", "a\n\n  <b>raw</b> &amp;\n\nc"), ("<desc>seen</desc>", "seen"),
+    ],
+)
+def test_html_formulas_drawings_choices(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (1, "<p>x", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract(df).select("page_id", "text").collect()) == [(1, "x"), (1, "x"), (2, "")]
