@@ -54,16 +54,16 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path)
+        end, width = encode.end(end_id), encode.width
         for b in slices(batches, 1000):
             rows: list[tuple] = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((doc_id, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode.encode_all(b.column("text").to_pylist()), strict=True):
+                ids += end
+                for k, at in enumerate(range(0, len(ids), width * capacity)):
+                    own = ids[at : at + width * capacity]
+                    n = len(own) // width
+                    rows.append((doc_id, k, at // width, n, zlib.crc32(encode.wide(own)), part, seen[n]))
                     seen[n] += 1
             yield batch(dict(zip(_PIECES.names, zip(*rows, strict=True), strict=True)), _PIECES)
 

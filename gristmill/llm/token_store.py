@@ -11,14 +11,16 @@ read with the trailer, the index and its own frame only (``read_document``). A
 reader refuses a file whose dictionary hash isn't that of the dictionary given.
 
 The dictionary is trained on the serialized ids of ``SAMPLE`` documents, those of
-least hash of their id over the whole table; it only sets how well frames are
-compressed, and every document is written whole. Texts are dealt by id once.
+least hash of id and text over the whole table; it only sets how well frames are
+compressed, and every document is written whole. Texts are dealt once, by ranges
+of id, hash of the text and place of the row, so no id is too large for a task.
+Ids are encoded straight into the width they are stored in.
 Tasks write files of unique names through Arrow's file systems, straight to the
 shared folder; the manifest, itself a table, names those of the tasks that Spark
 accepted, so a lost executor or a second attempt leaves at most an unread file.
 
 Defined results: a null or empty text has the end id only. Repeated rows are
-written each, ties in id ordered by text. Null ids come first, written as the
+written each, ties in id ordered by the text's hash. Null ids come first, written as the
 least 64-bit number. An empty table makes no file and no row.
 """
 
@@ -50,10 +52,6 @@ _MANIFEST = pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("part",
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 def train(samples: list[bytes]) -> bytes:
     """A zstandard dictionary; where there is too little to train on, the samples themselves."""
     import zstandard
@@ -74,11 +72,12 @@ class Writer:
         out.write(MAGIC)
 
     def add(self, doc_id: int, ids: bytes) -> None:
-        frame = self._zstd.compress(_narrow(ids, self._width))
+        """ids: in the file's width."""
+        frame = self._zstd.compress(ids)
         self._out.write(frame)
         self._ids.append(doc_id)
         self._offsets.append(self._offsets[-1] + len(frame))
-        self._sizes.append(len(ids) // 4)
+        self._sizes.append(len(ids) // self._width)
 
     def close(self) -> int:
         """Writes index and trailer; returns the number of ids."""
@@ -126,17 +125,19 @@ def read_document(uri: str, doc_id: int, dictionary: bytes) -> np.ndarray:
         return r.ids(k)
 
 
-def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, width: int = 2) -> tuple[DataFrame, bytes]:
+def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, width: int | None = None) -> tuple[DataFrame, bytes]:
     """Writes the files and the dictionary below ``folder``; returns the manifest and the dictionary.
 
-    width: bytes an id is stored in; 2 for vocabularies of up to 65,536 ids, else 4.
+    width: bytes an id is stored in; by itself 2 for vocabularies of up to 65,536 ids, else 4.
     """
     path = tokenizer or vocabulary()
+    encode = encoder(path, width)
+    width, end = encode.width, encode.end(end_id)
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    end = np.array([end_id], "<u4").tobytes()
-    least = [r[0] for r in docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    sample = docs.where(F.xxhash64("doc_id") <= least[-1]).select("text").limit(SAMPLE).collect() if least else []
-    dictionary = train([_narrow(encoder(path).encode(r[0]) + end, width) for r in sample])
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    least = [r[0] for r in docs.select(F.xxhash64("doc_id", "h").alias("least")).orderBy("least").limit(SAMPLE).collect()]
+    sample = docs.where(F.xxhash64("doc_id", "h") <= least[-1]).select("text").limit(SAMPLE).collect() if least else []
+    dictionary = train([ids + end for ids in encode.encode_all(r[0] for r in sample)])
     digest = hashlib.sha256(dictionary).hexdigest()
     system, at = fs.FileSystem.from_uri(folder)
     system.create_dir(at, recursive=True)
@@ -146,23 +147,24 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode, writer, n = TaskContext.get().partitionId(), encoder(path).encode, None, 0
+        part, encode, writer, n = TaskContext.get().partitionId(), encoder(path, width).encode_all, None, 0
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
         for b in slices(batches, 1000):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
                 if writer is None:
                     system, at = fs.FileSystem.from_uri(folder)
                     out, first = system.open_output_stream(f"{at}/{name}"), doc_id
                     writer = Writer(out, dictionary, width)
-                writer.add(doc_id, encode(text.as_py()) + end)
+                writer.add(doc_id, ids + end)
                 n += 1
         if writer is not None:
             tokens = writer.close()
             out.close()
             yield batch({"file": [f"{folder}/{name}"], "first_id": [first], "part": [part], "n_docs": [n], "n_tokens": [tokens], "dictionary": [digest]}, _MANIFEST)
 
-    dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = dealt.mapInArrow(write, "file string, first_id long, part int, n_docs long, n_tokens long, dictionary string")
+    order = ("doc_id", "h", "place")
+    dealt = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    manifest = dealt.select("doc_id", "text").mapInArrow(write, "file string, first_id long, part int, n_docs long, n_tokens long, dictionary string")
     return materialize(manifest, "manifest"), dictionary
 
 
@@ -181,7 +183,7 @@ def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                     starts = start + np.cumsum(r.sizes, dtype=np.int64) - r.sizes
                     for at in range(0, len(r.doc_ids), 10_000):
                         own = range(at, min(at + 10_000, len(r.doc_ids)))
-                        crc = [zlib.crc32(r.ids(k).tobytes()) for k in own]
+                        crc = [zlib.crc32(r.ids(k)) for k in own]
                         s = slice(own.start, own.stop)
                         ids = pa.array(r.doc_ids[s], mask=r.doc_ids[s] == NO_ID)
                         yield batch({"doc_id": ids, "start": starts[s], "n_tokens": r.sizes[s].astype(np.int64), "ids_crc32": crc}, _READ)
