@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gristmill.plans.expressions import calls, replace_spans
+from gristmill.plans.expressions import calls, replace_spans, tokens
 
 #: The time that a run stands for; ``bind_logical_time`` puts it in.
 LOGICAL_TIME = "logical_timestamp"
@@ -42,8 +42,26 @@ RENAMED: dict[str, Callable[..., str]] = {
 }
 
 
+def _in_from(sql: str, at: int) -> bool | None:
+    """Whether the place belongs to a FROM clause, behind a join or a comma; None if it stands first in it, or in no FROM."""
+    word, depth = None, 0
+    before = [t for t in tokens(sql) if t.end <= at]
+    for t in reversed(before):
+        if t.kind == "other":
+            depth += (t.text == ")") - (t.text == "(")
+            if depth < 0:
+                break
+        elif t.kind == "name" and not depth and t.text.upper() in ("SELECT", "FROM", "JOIN", "WHERE", "ON", "BY", "HAVING", "LATERAL"):
+            word = t.text.upper()
+            break
+    if word not in ("FROM", "JOIN"):
+        return None
+    return before[-1].text == "," or before[-1].text.upper() == "JOIN" or None
+
+
 def to_spark(sql: str) -> str:
-    """The text with calls of other dialects replaced, inner ones too."""
+    """The text with calls of other dialects replaced, inner ones too. UNNEST behind a join or a comma becomes a lateral table."""
+    sql = replace_spans(sql, [(c.start, c.start + len(c.name), "LATERAL explode") for c in calls(sql) if c.name == "unnest" and _in_from(sql, c.start)])
     found = [c for c in calls(sql) if c.name in RENAMED and c.over is None]
     outer = [c for c in found if not any(o.start < c.start < o.end for o in found)]
     return replace_spans(sql, [(c.start, c.end, RENAMED[c.name](*map(to_spark, c.args))) for c in outer]) if outer else sql

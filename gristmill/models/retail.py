@@ -21,7 +21,7 @@ def registry() -> Registry:
     r.dimension("part", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM parts", ["p_partkey"])
     r.dimension("nation", "SELECT n_nationkey, n_name, n_regionkey FROM nations", ["n_nationkey"])
     r.dimension("region", "SELECT r_regionkey, r_name FROM regions", ["r_regionkey"])
-    r.dimension("day", "SELECT DISTINCT d, year(d) AS year, year(d) * 100 + month(d) AS month, quarter(d) AS quarter FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem)", ["d"])
+    r.dimension("day", "SELECT DISTINCT d, year(d) AS year, year(d) * 100 + month(d) AS month, quarter(d) AS quarter FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem)", ["d"], derived={"year": "year(d)", "month": "year(d) * 100 + month(d)", "quarter": "quarter(d)"})
     r.dimension("price_band", "SELECT * FROM VALUES (0, 50000.0, 'low'), (1, 150000.0, 'middle'), (2, 1e12, 'high') AS t(band, upto, label)", ["band"])
     r.transform("order_facts", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(o_orderdate AS DATE) AS o_day FROM orders", ["o_orderkey"])
     r.transform("item_facts", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS l_day FROM lineitem", ["l_orderkey", "l_linenumber"])
@@ -30,11 +30,11 @@ def registry() -> Registry:
     r.link("item_facts", "order_dim", "item_facts.l_orderkey = order_dim.o_orderkey")
     r.link("item_facts", "supplier", "item_facts.l_suppkey = supplier.s_suppkey", role="supplier")
     r.link("item_facts", "part", "item_facts.l_partkey = part.p_partkey")
-    r.link("item_facts", "day", "item_facts.l_day = day.d", role="ship")
+    r.link("item_facts", "day", "item_facts.l_day = day.d", role="ship", total=True)
     r.link("order_dim", "customer", "order_dim.o_custkey = customer.c_custkey", role="customer")
-    r.link("order_dim", "day", "order_dim.o_day = day.d", role="order")
+    r.link("order_dim", "day", "order_dim.o_day = day.d", role="order", total=True)
     r.link("order_facts", "customer", "order_facts.o_custkey = customer.c_custkey", role="customer")
-    r.link("order_facts", "day", "order_facts.o_day = day.d", role="order")
+    r.link("order_facts", "day", "order_facts.o_day = day.d", role="order", total=True)
     r.link("order_facts", "item_facts", "order_facts.o_orderkey = item_facts.l_orderkey", role="items", cardinality="one_to_many")
     r.link("order_facts", "price_band", "order_facts.o_totalprice >= price_band.upto / 3 AND order_facts.o_totalprice < price_band.upto", how="inner", cardinality="many_to_many")
     r.link("customer", "nation", "customer.c_nationkey = nation.n_nationkey", default="unknown")
@@ -60,6 +60,14 @@ def registry() -> Registry:
     m("dearest_part", "MAX_BY(l_partkey, struct(l_extendedprice, l_partkey))", "item_facts")
     m("median_quantity", "MEDIAN(l_quantity)", "item_facts")
     m("approximate_parts", "APPROX_COUNT_DISTINCT(l_partkey)", "item_facts")
+    m("some_flag", "ANY_VALUE(l_returnflag)", "item_facts")
+    m("quantity_stddev_pop", "STDDEV_POP(l_quantity)", "item_facts")
+    m("quantity_var_samp", "VAR_SAMP(l_quantity)", "item_facts")
+    m("quantity_tax_covar_pop", "COVAR_POP(l_quantity, l_tax)", "item_facts")
+    m("first_line", "MIN_BY(l_linenumber, l_orderkey * 10 + l_linenumber)", "item_facts")
+    m("tax_variance", "VARIANCE(l_tax)", "item_facts")
+    m("tax_stddev", "STDDEV(l_tax)", "item_facts")
+    m("quantity_per_median", "SUM(l_quantity) / MEDIAN(l_quantity)", "item_facts")
     m("return_rate", "SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / SUM(l_quantity)", "item_facts")
     m("order_value", "SUM(o_totalprice)", "order_facts")
     m("order_count", "COUNT(o_orderkey)", "order_facts")
@@ -82,5 +90,10 @@ def registry() -> Registry:
     return r
 
 
+#: Analysed frames by session and folder; engines of one folder share them, but not their rollups.
+_FRAMES: dict[tuple[str, str], dict] = {}
+
+
 def engine(spark: SparkSession, folder: str) -> Engine:
-    return Engine(spark, registry(), parquet_folder(spark, folder))
+    shared = _FRAMES.setdefault((f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}", folder), {})
+    return Engine(spark, registry(), parquet_folder(spark, folder), frames=shared)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from enum import IntEnum
 
-from gristmill.plans.expressions import Call, calls, replace_spans, safe_division
+from gristmill.plans.expressions import AGGREGATES, Call, calls, replace_spans, safe_division
 
 
 class Aggregability(IntEnum):
@@ -48,38 +49,74 @@ def _component(kind: str, expression: str, source: str, merge: str | None = None
     return Component(name, expression, f"{kind}({expression})", f"{merge or kind}({name})", kind)
 
 
+#: What makes the parts of a call: (call, make a component) -> (components, the value over their merges).
+Maker = Callable[[Call, Callable[..., Component]], tuple[list[Component], str]]
+_MAKERS: dict[str, tuple[int, Maker]] = {}
+
+
+def decomposes(*functions: str, arguments: int = 1) -> Callable[[Maker], Maker]:
+    """Registers how calls of these aggregates, with so many arguments, are stored in parts; a later registration replaces an earlier one."""
+
+    def register(maker: Maker) -> Maker:
+        _MAKERS.update(dict.fromkeys(functions, (arguments, maker)))
+        AGGREGATES.update(functions)
+        return maker
+
+    return register
+
+
+@decomposes("sum", "max", "min", "any_value")
+def _same(call: Call, make: Callable[..., Component]) -> tuple[list[Component], str]:
+    return [c := make(call.name, call.args[0])], c.merge
+
+
+@decomposes("count", "count_if")
+def _counted(call: Call, make: Callable[..., Component]) -> tuple[list[Component], str]:
+    return [c := make(call.name, call.args[0], "sum")], f"coalesce({c.merge}, 0)"
+
+
+@decomposes("avg", "mean")
+def _average(call: Call, make: Callable[..., Component]) -> tuple[list[Component], str]:
+    s, n = make("sum", call.args[0]), make("count", call.args[0], "sum")
+    return [s, n], f"CAST({s.merge} AS DOUBLE) / NULLIF({n.merge}, 0)"
+
+
+@decomposes("approx_count_distinct", "approx_count_distinct_ds_hll")
+def _sketched(call: Call, make: Callable[..., Component]) -> tuple[list[Component], str]:
+    c = make("hll_sketch_agg", call.args[0], "hll_union_agg")
+    return [c], f"coalesce(hll_sketch_estimate({c.merge}), 0)"
+
+
+@decomposes("var_pop", "var_samp", "variance", "stddev_pop", "stddev_samp", "stddev")
+def _spread(call: Call, make: Callable[..., Component]) -> tuple[list[Component], str]:
+    d = f"CAST({call.args[0]} AS DOUBLE)"
+    s, q, n = make("sum", d), make("sum", f"{d} * {d}"), make("count", call.args[0], "sum")
+    spread = f"greatest({q.merge} - {s.merge} * {s.merge} / NULLIF({n.merge}, 0), 0D)"
+    value = f"{spread} / NULLIF({n.merge}{'' if call.name.endswith('pop') else ' - 1'}, 0)"
+    return [s, q, n], f"sqrt({value})" if call.name.startswith("stddev") else f"({value})"
+
+
+@decomposes("covar_pop", "covar_samp", "corr", arguments=2)
+def _together(call: Call, make: Callable[..., Component]) -> tuple[list[Component], str]:
+    a, b = call.args
+    both = f"({a}) IS NOT NULL AND ({b}) IS NOT NULL"
+    u, v = (f"CASE WHEN {both} THEN CAST({y} AS DOUBLE) END" for y in (a, b))
+    su, sv, uv, n = make("sum", u), make("sum", v), make("sum", f"({u}) * ({v})"), make("count_if", both, "sum")
+    cross = f"({uv.merge} - {su.merge} * {sv.merge} / NULLIF({n.merge}, 0))"
+    if call.name != "corr":
+        return [su, sv, uv, n], f"{cross} / NULLIF({n.merge}{' - 1' if call.name == 'covar_samp' else ''}, 0)"
+    uu, vv = make("sum", f"({u}) * ({u})"), make("sum", f"({v}) * ({v})")
+    var = lambda s, q: f"greatest({q.merge} - {s.merge} * {s.merge} / NULLIF({n.merge}, 0), 0D)"
+    return [su, sv, uv, uu, vv, n], f"{cross} / NULLIF(sqrt({var(su, uu)} * {var(sv, vv)}), 0)"
+
+
 def _parts(call: Call, source: str) -> tuple[list[Component], str] | None:
     """Components of one aggregate and its value over their merges."""
-    make = lambda kind, x, merge=None: _component(kind, x, source, merge)
-    x = call.args[0] if call.args else "*"
-    if call.name in ("sum", "max", "min", "any_value"):
-        return [c := make(call.name, x)], c.merge
-    if call.name in ("count", "count_if") and len(call.args) == 1:
-        return [c := make(call.name, x, "sum")], f"coalesce({c.merge}, 0)"
-    if call.name in ("avg", "mean"):
-        s, n = make("sum", x), make("count", x, "sum")
-        return [s, n], f"CAST({s.merge} AS DOUBLE) / NULLIF({n.merge}, 0)"
-    if call.name in ("approx_count_distinct", "approx_count_distinct_ds_hll"):
-        c = make("hll_sketch_agg", x, "hll_union_agg")
-        return [c], f"coalesce(hll_sketch_estimate({c.merge}), 0)"
-    if call.name in ("var_pop", "var_samp", "variance", "stddev_pop", "stddev_samp", "stddev"):
-        d = f"CAST({x} AS DOUBLE)"
-        s, q, n = make("sum", d), make("sum", f"{d} * {d}"), make("count", x, "sum")
-        spread = f"greatest({q.merge} - {s.merge} * {s.merge} / NULLIF({n.merge}, 0), 0D)"
-        value = f"{spread} / NULLIF({n.merge}{'' if call.name.endswith('pop') else ' - 1'}, 0)" if call.name.endswith("pop") else f"{spread} / NULLIF({n.merge} - 1, 0)"
-        return [s, q, n], f"sqrt({value})" if call.name.startswith("stddev") else f"({value})"
-    if call.name in ("covar_pop", "covar_samp", "corr") and len(call.args) == 2:
-        a, b = call.args
-        both = f"({a}) IS NOT NULL AND ({b}) IS NOT NULL"
-        u, v = (f"CASE WHEN {both} THEN CAST({y} AS DOUBLE) END" for y in (a, b))
-        su, sv, uv, n = make("sum", u), make("sum", v), make("sum", f"({u}) * ({v})"), make("count_if", both, "sum")
-        cross = f"({uv.merge} - {su.merge} * {sv.merge} / NULLIF({n.merge}, 0))"
-        if call.name != "corr":
-            return [su, sv, uv, n], f"{cross} / NULLIF({n.merge}{' - 1' if call.name == 'covar_samp' else ''}, 0)"
-        uu, vv = make("sum", f"({u}) * ({u})"), make("sum", f"({v}) * ({v})")
-        var = lambda s, q: f"greatest({q.merge} - {s.merge} * {s.merge} / NULLIF({n.merge}, 0), 0D)"
-        return [su, sv, uv, uu, vv, n], f"{cross} / NULLIF(sqrt({var(su, uu)} * {var(sv, vv)}), 0)"
-    return None
+    arguments, maker = _MAKERS.get(call.name, (0, None))
+    if maker is None or max(len(call.args), 1) != arguments:
+        return None
+    call = call if call.args else replace(call, args=("*",))
+    return maker(call, lambda kind, x, merge=None: _component(kind, x, source, merge))
 
 
 def decompose(expression: str, source: str) -> Decomposed:

@@ -12,6 +12,8 @@ joins: one shuffle for any number of facts, and null keys meet.
 
 from __future__ import annotations
 
+import difflib
+import json
 import re
 import warnings
 from collections.abc import Callable, Iterable
@@ -26,6 +28,10 @@ from gristmill.plans.expressions import WINDOW_ONLY, Over, calls, names, over, r
 from gristmill.plans.model import Attribute, Link, ModelError, Registry
 
 
+#: Names without parentheses that Spark takes for values of the session where no column has them.
+LITERAL_NAMES = ("current_date", "current_timestamp", "current_time", "current_user", "user", "session_user", "localtimestamp")
+
+
 class FanOutWarning(UserWarning):
     """A join on the way repeats rows that a metric adds up."""
 
@@ -38,11 +44,17 @@ class GrainGroup:
     dimensions: dict[Attribute, str]
     components: dict[str, Component]
     frame: DataFrame
+    levels: tuple[str, ...] = ()
+    whole: tuple[str, ...] = ()  # metrics that are computed from these rows as they are
 
 
 @dataclass
 class Rollup:
-    """A stored grain group: attributes and component identities by column; covered: inclusive bounds of attributes."""
+    """A stored grain group: attributes and component identities by column.
+
+    covered: inclusive bounds of attributes. filters: what its rows were filtered
+    by; it answers only requests whose own filters imply them.
+    """
 
     name: str
     parent: str
@@ -51,6 +63,77 @@ class Rollup:
     levels: tuple[str, ...]
     frame: DataFrame
     covered: dict[Attribute, tuple] = field(default_factory=dict)
+    filters: tuple[str, ...] = ()
+
+
+def _same(text: str) -> str:
+    """A filter up to white space and the case of all but its strings."""
+    return " ".join(t.text if t.kind == "string" else t.text.lower() for t in tokens(text))
+
+
+_LITERAL = r"(?:(?:DATE|TIMESTAMP)\s*)?(?:'([^']*)'|(-?\d+(?:\.\d+)?))"
+
+
+def _comparison(text: str) -> tuple[str, str, str | float] | None:
+    """(name, operator, value) of a comparison with a literal."""
+    m = re.fullmatch(rf"\s*([\w.]+(?:\[[\w>\-]+\])?)\s*(>=|<=|=|>|<)\s*{_LITERAL}\s*", text, re.I)
+    return (m[1].lower(), m[2], m[3] if m[3] is not None else float(m[4])) if m else None
+
+
+def _conjuncts(text: str) -> list[str]:
+    """The parts of a filter between ANDs outside parentheses; BETWEEN, OR and CASE keep a filter whole."""
+    ts = tokens(text)
+    if any(t.kind == "name" and t.text.upper() in ("BETWEEN", "OR", "CASE") for t in ts):
+        return [text]
+    out, start, depth = [], 0, 0
+    for t in ts:
+        depth += (t.text in "([") - (t.text in ")]") if t.kind == "other" else 0
+        if t.kind == "name" and t.text.upper() == "AND" and not depth:
+            out.append(text[start : t.start])
+            start = t.end
+    return [*out, text[start:]]
+
+
+def implied(wanted: str, filters: Iterable[str]) -> bool:
+    """Whether rows that meet all the filters are sure to meet the wanted one: the same text, or a tighter comparison."""
+    have = [c for f in filters for c in _conjuncts(f)]
+    if _same(wanted) in {_same(f) for f in [*have, *filters]}:
+        return True
+    parts = _conjuncts(wanted)
+    if len(parts) > 1:
+        return all(implied(p, have) for p in parts)
+    if (w := _comparison(wanted)) is None:
+        return False
+    for name, op, value in filter(None, map(_comparison, have)):
+        if name != w[0] or type(value) is not type(w[2]):
+            continue
+        if op == "=" and {"=": value == w[2], ">": value > w[2], ">=": value >= w[2], "<": value < w[2], "<=": value <= w[2]}[w[1]]:
+            return True
+        if op[0] == w[1][0] != "=" and (value > w[2] if op[0] == ">" else value < w[2]):
+            return True
+        if op[0] == w[1][0] and value == w[2] and (op == w[1] or w[1] in (">=", "<=")):
+            return True
+    return False
+
+
+def _end(flat: list[dict], k: int) -> int:
+    """Behind the subtree of the k-th node of a tree that is listed node by node, parents first."""
+    at, left = k, 1
+    while left:
+        left += flat[at]["num-children"] - 1
+        at += 1
+    return at
+
+
+def _trees(x: object) -> list[list[dict]]:
+    """The expression trees, each as a list of nodes, among the fields of a plan's node."""
+    if isinstance(x, dict):
+        return [t for v in x.values() for t in _trees(v)]
+    if not isinstance(x, list):
+        return []
+    if x and all(isinstance(y, dict) and "class" in y and "num-children" in y for y in x):
+        return [x, *(t for y in x for v in y.values() for t in _trees(v))]
+    return [t for y in x for t in _trees(y)]
 
 
 @dataclass
@@ -63,10 +146,13 @@ class _Scan:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, registry: Registry, read: Callable[[str], DataFrame], check_freshness: bool = False):
+    def __init__(self, spark: SparkSession, registry: Registry, read: Callable[[str], DataFrame], check_freshness: bool = False, frames: dict[str, DataFrame] | None = None):
+        """frames: analysed nodes, to be shared by engines of one registry, reader and session; files that come later aren't seen."""
         self.spark, self.registry, self._read, self.check_freshness = spark, registry, read, check_freshness
-        self._frames: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = {} if frames is None else frames
         self.rollups: list[Rollup] = []
+        #: Stored cubes: ``parent`` is the cube, components are by their names.
+        self.cube_tables: list[Rollup] = []
         #: Names of rollups that the last request was answered from.
         self.used: list[str] = []
 
@@ -74,31 +160,46 @@ class Engine:
 
     def frame(self, name: str) -> DataFrame:
         """A node's rows; SQL nodes are resolved over the nodes they read."""
+        return self._framed(name, self._frames)
+
+    def _framed(self, name: str, frames: dict[str, DataFrame]) -> DataFrame:
         for n in self.registry.node_order([name]):
-            if n in self._frames:
+            if n in frames:
                 continue
             node = self.registry.node(n)
             if node.query is None:
-                self._frames[n] = self._read(node.table or n)
+                frames[n] = self._read(node.table or n)
                 continue
-            read = {x: self._frames[x] for x in self.registry._reads(n)}
+            read = {x: frames[x] for x in self.registry._reads(n)}
             views = {x: f"gristmill_{id(self)}_{x}".replace(".", "_") for x in read}
             for x, df in read.items():
                 df.createOrReplaceTempView(views[x])
             swap = lambda t, v=views: next((v[x] + t[len(x) :] for x in sorted(v, key=len, reverse=True) if t == x or t.startswith(f"{x}.")), None)
-            self._frames[n] = self.spark.sql(replace_names(to_spark(node.query), swap))
+            frames[n] = self.spark.sql(replace_names(to_spark(node.query), swap))
             for v in views.values():
                 self.spark.catalog.dropTempView(v)
-        return self._frames[name]
+        return frames[name]
 
     def use_table(self, name: str, frame: DataFrame) -> None:
         """From now on a node is read from a materialised table."""
         if missing := set(self.frame(name).columns) - set(frame.columns):
             raise ModelError(f"the table lacks {sorted(missing)}")
+        # Nodes that read it are analysed anew, and other engines keep what they have.
+        stale = {name, *self.registry.downstream(name)}
+        self._frames = {k: v for k, v in self._frames.items() if k not in stale}
         self._frames[name] = frame
 
     # Dimensions --------------------------------------------------------------------------------------------------
 
+    def _derived(self, a: Attribute, chain: tuple[Link, ...]) -> tuple[str, tuple[str, ...]] | None:
+        """(SQL over columns of the node before, those columns) of an attribute that the key of its dimension tells."""
+        link = chain[-1] if chain else None
+        text = dict(self.registry.node(a.node).derived).get(a.column)
+        if text is None or link is None or not link.total or not link.pairs or link.how not in ("left", "inner"):
+            return None
+        own = {d: n for n, d in link.pairs}
+        return replace_names(text, own.get), tuple(own[t.text] for t in names(text))
+
     def _resolve(self, fact: str, a: Attribute) -> tuple[tuple[Link, ...], str]:
         """(links to join, column of the last one's dimension, or of the fact). Hops that only fetch a key are left out."""
         if a.node == fact and not a.role:
@@ -121,14 +222,75 @@ class Engine:
             column, chain = own[column], chain[:-1]
         return chain, column
 
+    def _upstream(self, fact: str, a: Attribute) -> tuple[str | None, list[tuple[str, str]]]:
+        """For a key of a dimension that only nodes above the fact link to: (the fact's column that has it, [(node above, its column)])."""
+        direct, passed, above = set(self.registry._reads(fact)), set(), []
+        for node in self.registry.upstream(fact):
+            for x in self.registry.links:
+                own = {d: n for n, d in x.pairs or ()} if (x.node, x.dimension) == (node, a.node) and a.role in ("", x.role) else {}
+                if (column := own.get(a.column)) is None:
+                    continue
+                if node in direct and column in self.frame(fact).columns and self.lineage(fact).get(column) == self._roots(node, column):
+                    passed.add(column)
+                else:
+                    above.append((node, column))
+        return (passed.pop() if len(passed) == 1 else None), above
+
+    def _roots(self, node: str, column: str) -> list[str]:
+        return [f"{node}.{column}"] if self.registry.node(node).query is None else self.lineage(node).get(column, [])
+
+    def _pushed_up(self, fact: str, filters: list[str]) -> tuple[DataFrame, list[str], dict[Attribute, str]]:
+        """(the fact over filtered nodes above it, filters left over, columns of the fact for attributes it has from above).
+
+        That is for filters on dimensions that the fact doesn't reach itself.
+        """
+        columns: dict[Attribute, str] = {}
+        pushed: dict[str, list[Column]] = {}
+        left = []
+        for f in filters:
+            far = [a for a in self._attributes(f) if not (a.node == fact and not a.role) and not any((r.node, r.dimension, r.attribute) == (fact, a.node, a.column) for r in self.registry.references) and self.registry.path(fact, a.node, a.role) is None]
+            found = {a: self._upstream(fact, a) for a in far}
+            if not far or not all(own or above for own, above in found.values()):
+                left.append(f)
+            elif all(own for own, _ in found.values()):
+                columns |= {a: own for a, (own, _) in found.items()}
+                left.append(f)
+            else:
+                each = [dict(above) for _, above in found.values()]
+                nodes = [n for n in each[0] if all(n in x for x in each)] if len(far) == len(self._attributes(f)) else []
+                if not nodes:
+                    raise ModelError(f"the attributes of {f!r} meet at no node above {fact}")
+                for n in nodes:
+                    pushed.setdefault(n, []).append(self._filter(f, {a: dict(above)[n] for a, (_, above) in found.items()}))
+        if not pushed:
+            return self.frame(fact), left, columns
+        own: dict[str, DataFrame] = {}
+        for n in self.registry.node_order([fact]):
+            if n in pushed or set(self.registry._reads(n)) & set(own):
+                # Anew over what is filtered already, if it reads any of that.
+                df = self._framed(n, {x: own[x] if x in own else self.frame(x) for x in self.registry.upstream(n)}) if set(self.registry._reads(n)) & set(own) else self.frame(n)
+                for c in pushed.get(n, ()):
+                    df = df.where(c)
+                own[n] = df
+        return own[fact], left, columns
+
     def _scan(self, fact: str, wanted: Iterable[Attribute], filters: Iterable[str] = ()) -> _Scan:
-        resolved = {a: self._resolve(fact, a) for a in dict.fromkeys(wanted)}
+        filters = [*filters]
+        base, waiting, passed = self._pushed_up(fact, filters)
+        met = {a for f in filters if f not in waiting for a in self._attributes(f)}
+        resolved = {a: ((), passed[a]) if a in passed else self._resolve(fact, a) for a in dict.fromkeys(wanted) if a not in met}
         joins: dict[tuple[Link, ...], set[str]] = {}
-        for chain, column in resolved.values():
+        made: dict[Attribute, tuple[tuple[Link, ...], str, tuple[str, ...]]] = {}
+        for a, (chain, column) in [*resolved.items()]:
+            needed = (column,)
+            if (derived := self._derived(a, chain)) is not None:
+                chain, needed = chain[:-1], derived[1]
+                made[a] = chain, *derived
+                resolved[a] = (), f"e{len(made)}__{column}"
             for k in range(1, len(chain) + 1):
                 joins.setdefault(chain[:k], set())
             if chain:
-                joins[chain].add(column)
+                joins[chain].update(needed)
         for chain in joins:
             for t in names(chain[-1].on):
                 node, _, column = t.text.rpartition(".")
@@ -137,8 +299,7 @@ class Engine:
                 if node == chain[-1].node and len(chain) > 1:
                     joins[chain[:-1]].add(column)
         alias = {c: f"d{k}" for k, c in enumerate(joins)}
-        df = self.frame(fact)
-        waiting = [*filters]
+        df = base
 
         def column_of(a: Attribute) -> str:
             chain, column = resolved[a]
@@ -146,6 +307,11 @@ class Engine:
 
         def filtered(df: DataFrame) -> DataFrame:
             """Filters take effect as soon as their columns are there, so before joins that keep unmatched rows."""
+            for a, (chain, text, needed) in [*made.items()]:
+                own = {c: f"{alias[chain]}__{c}" if chain else c for c in needed}
+                if set(own.values()) <= set(df.columns):
+                    df = df.withColumn(resolved[a][1], F.expr(replace_names(text, own.get)))
+                    del made[a]
             for f in [*waiting]:
                 if all(column_of(a) in df.columns for a in self._attributes(f)):
                     df = df.where(self._filter(f, {a: column_of(a) for a in self._attributes(f)}))
@@ -198,15 +364,30 @@ class Engine:
     def _classified(self, filters: Iterable[str]) -> tuple[list[str], list[str]]:
         """(filters on rows, filters on metrics)."""
         rows, having, wrong = [], [], []
-        keywords = {"AND", "OR", "NOT", "IN", "IS", "NULL", "TRUE", "FALSE", "LIKE", "ILIKE", "RLIKE", "BETWEEN", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "INTERVAL", "CASE", "WHEN", "THEN", "ELSE", "END", "CAST", "AS", "DISTINCT", "FROM", "STRING", "INT", "BIGINT", "DOUBLE", "DAY", "MONTH", "YEAR", "ESCAPE", "ANY", "ALL", "SOME"}
         for f in filters:
-            own = [t.text for t in names(f) if t.text.upper() not in keywords]
-            wrong += [t for t in own if t not in self.registry.metrics and "." not in t]
-            (having if any(t in self.registry.metrics for t in own) else rows).append(f)
+            wrong += self._unknown(f)
+            (having if any(t.text in self.registry.metrics for t in names(f)) else rows).append(f)
         if wrong:
-            raise ModelError(f"neither a metric nor node.column: {sorted(set(wrong))}")
+            known = [*self.registry.metrics, *(f"{n}.{k}" for n, x in self.registry.nodes.items() for k in x.primary_key)]
+            near = {w: difflib.get_close_matches(w, known, 2) for w in sorted(set(wrong))}
+            raise ModelError("neither a metric nor node.column: " + ", ".join(w + (f" (is it {' or '.join(x)}?)" if x else "") for w, x in near.items()))
         return rows, having
 
+    def _unknown(self, text: str) -> list[str]:
+        """What Spark's parser takes for a column in a filter, and that is no metric and no node.column."""
+        placed: dict[str, str] = {}
+
+        def place(t: str) -> str | None:
+            if t not in self.registry.metrics and "." not in t:
+                return None
+            return f"`{placed.setdefault(t, f'known_{len(placed)}')}`"
+
+        parser = self.spark._jsparkSession.sessionState().sqlParser()
+        leaves = parser.parseExpression(to_spark(replace_names(text, place))).collectLeaves()
+        found = [leaves.apply(k) for k in range(leaves.size())]
+        columns = [x.name().strip("`") for x in found if x.getClass().getSimpleName() == "UnresolvedAttribute"]
+        return [c for c in columns if c not in placed.values() and c.lower() not in LITERAL_NAMES]
+
     # Metrics -----------------------------------------------------------------------------------------------------
 
     @staticmethod
@@ -242,6 +423,9 @@ class Engine:
         filters = [self._bound(f, parameters or {}) for f in filters]
         rows, having = self._classified(filters)
         order = self.registry.metric_order([*metrics, *(t.text for f in having for t in names(f) if t.text in self.registry.metrics)])
+        for m in order:
+            if wrong := [p for p in self.registry.metric_parts(m) if (own := self.registry.metrics[p]).parent and decompose(to_spark(own.expression), own.parent).aggregability is Aggregability.NONE]:
+                raise ModelError(f"{m} can't be made of {wrong}, which can't be merged from parts")
         shown = [Attribute.parse(d) for d in dict.fromkeys(dimensions)]
         for m in order:
             more = [*self.registry.metrics[m].required, *(e for o in self._overs(m) for e, _ in o.order)]
@@ -298,11 +482,16 @@ class Engine:
         if not by_fact:
             raise ModelError("no metric is asked for")
         if len(by_fact) > 1 and shown:
-            for fact in by_fact:
+            for fact in by_fact:  # raises where they share no dimension
                 for a in shown:
                     self._resolve(fact, a)
-        facts = [self._fact(fact, own, shown, labels, filters) for fact, own in by_fact.items()]
-        df, keys = facts[0], [labels[a] for a in shown]
+        keys = [labels[a] for a in shown]
+        if (cube := self.find_cube([m for own in by_fact.values() for m in own], shown, filters)) is not None:
+            self.used.append(cube.name)
+            facts = [self._from_cube(cube, by_fact, shown, labels, filters)]
+        else:
+            facts = [self._fact(fact, own, shown, labels, filters) for fact, own in by_fact.items()]
+        df = facts[0]
         if len(facts) > 1:
             for other in facts[1:]:
                 df = df.unionByName(other, allowMissingColumns=True)
@@ -321,14 +510,16 @@ class Engine:
 
     def _fact(self, fact: str, metrics: list[str], shown: list[Attribute], labels: dict[Attribute, str], filters: list[str]) -> DataFrame:
         """The metrics of one fact: one scan, one aggregation; from a rollup if one will do."""
-        asked = [*shown, *(a for f in filters for a in self._attributes(f))]
-        if (stored := self._stored(fact, metrics, asked, shown, filters)) is not None:
+        if (stored := self._stored(fact, metrics, shown, filters)) is not None:
             rollup, scan = stored
             self.used.append(rollup.name)
-            for f in filters:
+            for f in self._left_over(rollup, filters):
                 scan = _Scan(scan.frame.where(self._filter(f, scan.columns)), scan.columns, [])
         else:
-            rollup, scan = None, self._scan(fact, asked, filters)
+            rollup, scan = None, self._scan(fact, [*shown, *(a for f in filters for a in self._attributes(f))], filters)
+        for a in shown:
+            if a not in scan.columns:  # met above the fact by a filter, but not there to be shown
+                self._resolve(fact, a)
         if many := [x for x in scan.links if x.cardinality in ("one_to_many", "many_to_many")]:
             if wrong := [m for m in metrics if inflates(self.registry.metrics[m].expression)]:
                 warnings.warn(f"the links to {[x.dimension for x in many]} repeat rows of {fact} that {wrong} add up", FanOutWarning, stacklevel=2)
@@ -350,6 +541,52 @@ class Engine:
             out.append(F.col(self._column(m)) if d.aggregability > Aggregability.FULL else F.expr(final).alias(self._column(m)))
         return df.select(*[F.col(f"`{labels[a]}`") for a in shown], *out)
 
+    def find_cube(self, metrics: Iterable[str], shown: Iterable[Attribute], filters: Iterable[str] = ()) -> Rollup | None:
+        """The stored cube of fewest dimensions that has all metrics, and all dimensions shown or filtered by, with the same roles."""
+        filters, metrics = [*filters], [*metrics]
+        best = None
+        for c in self.cube_tables:
+            own = self.registry.cubes[c.parent]
+            parts = [x for m in metrics for x in decompose(to_spark(self.registry.metrics[m].expression), self.registry.metrics[m].parent).components]
+            asked = {*shown, *(a for f in self._left_over(c, filters) for a in self._attributes(f))}
+            if not all(m in self.registry.metric_order(own.metrics) for m in metrics) or not asked <= set(c.dimensions):
+                continue
+            if not all(x.name in c.components for x in parts) or not all(implied(f, filters) for f in c.filters):
+                continue
+            if best is None or len(c.dimensions) < len(best.dimensions):
+                best = c
+        return best
+
+    def _from_cube(self, cube: Rollup, by_fact: dict[str, list[str]], shown: list[Attribute], labels: dict[Attribute, str], filters: list[str]) -> DataFrame:
+        """The metrics of all facts from one table: one aggregation."""
+        df = cube.frame
+        for f in self._left_over(cube, filters):
+            df = df.where(self._filter(f, cube.dimensions))
+        several = len({p for m in self.registry.cubes[cube.parent].metrics for p in self.registry.parents(m)}) > 1
+        agg = []
+        for fact, metrics in by_fact.items():
+            for m in metrics:
+                d = decompose(to_spark(self.registry.metrics[m].expression), fact)
+                there = " + ".join(f"count({c.name})" for c in d.components)
+                # A group that this fact has no rows of has no value, as when it is read from rows.
+                agg.append((F.when(F.expr(f"{there} > 0"), F.expr(d.final)) if several else F.expr(d.final)).alias(self._column(m)))
+        return df.groupBy(*[F.col(f"`{cube.dimensions[a]}`").alias(labels[a]) for a in shown]).agg(*agg)
+
+    def materialize_cube(self, name: str, write: Callable[[DataFrame, str], DataFrame]) -> Rollup:
+        """Stores a cube's components by its dimensions in one table; requests that it covers are answered from it.
+
+        Only cubes whose metrics all merge freely can be stored.
+        """
+        own = self.registry._found(self.registry.cubes, name, "cube")
+        filters = [*own.filters]
+        groups = self.measures(own.metrics, own.dimensions, filters)
+        if any(g.levels for g in groups):
+            raise ModelError(f"cube {name} has counts of distinct values, which a table of merged parts can't hold")
+        stored = write(self._combined(groups), f"cube_{name}".replace(".", "_"))
+        table = Rollup(f"cube:{name}", name, dict(groups[0].dimensions), {n: n for g in groups for n in g.components}, (), stored, {}, tuple(filters))
+        self.cube_tables.append(table)
+        return table
+
     # Windows -----------------------------------------------------------------------------------------------------
 
     def _window(self, df: DataFrame, metric: str, order: list[str], shown: list[Attribute], labels: dict[Attribute, str], filters: list[str]) -> DataFrame:
@@ -460,8 +697,14 @@ class Engine:
 
     # Measures and rollups ----------------------------------------------------------------------------------------
 
-    def measures(self, metrics: Iterable[str], dimensions: Iterable[str] = (), filters: Iterable[str] = ()) -> list[GrainGroup]:
-        """One grain group per fact: components at the finest grain that all of the fact's metrics need."""
+    def measures(self, metrics: Iterable[str], dimensions: Iterable[str] = (), filters: Iterable[str] = (), stored: bool = False) -> list[GrainGroup]:
+        """One grain group per fact: components at the finest grain that all of the fact's metrics need.
+
+        Metrics that no parts can be merged to have a group of their own, at the
+        fact's native grain: its key, the dimensions, and the columns they read.
+        stored: from rollups where they hold the answer.
+        """
+        self.used = [] if stored else self.used
         shown = [Attribute.parse(d) for d in dict.fromkeys(dimensions)]
         labels = self._labels(shown)
         rows, having = self._classified(filters)
@@ -474,27 +717,54 @@ class Engine:
                 by_fact.setdefault(own.parent, {})[m] = decompose(to_spark(own.expression), own.parent)
         out = []
         for fact, parts in by_fact.items():
-            if wrong := [m for m, d in parts.items() if d.aggregability is Aggregability.NONE]:
-                raise ModelError(f"{wrong} can't be stored in parts")
-            scan = self._scan(fact, [*shown, *(a for f in rows for a in self._attributes(f))], rows)
+            asked = [*shown, *(a for f in rows for a in self._attributes(f))]
+            if whole := [m for m, d in parts.items() if d.aggregability is Aggregability.NONE]:
+                scan = self._scan(fact, asked, rows)
+                read = [t.text for m in whole for t in names(parts[m].final) if t.text in scan.frame.columns]
+                columns = [c for c in dict.fromkeys([*self.registry.node(fact).primary_key, *read]) if c not in labels.values()]
+                own = scan.frame.select(*[F.col(f"`{scan.columns[a]}`").alias(labels[a]) for a in shown], *columns)
+                out.append(GrainGroup(fact, {a: labels[a] for a in shown}, {}, own, self.registry.node(fact).primary_key, tuple(whole)))
+                parts = {m: d for m, d in parts.items() if m not in whole}
+                if not parts:
+                    continue
+            if stored and (found := self._stored(fact, [*parts], shown, rows)) is not None:
+                rollup, scan = found
+                self.used.append(rollup.name)
+                df = scan.frame
+                for f in self._left_over(rollup, rows):
+                    df = df.where(self._filter(f, scan.columns))
+                components = {c.name: c for d in parts.values() for c in d.components}
+                levels = tuple(dict.fromkeys(x for d in parts.values() for x in d.level))
+                keys = [F.col(f"`{scan.columns[a]}`").alias(labels[a]) for a in shown] + [F.col(self._level(x)) for x in levels]
+                merged = [F.expr(replace_names(c.merge, {c.name: rollup.components[c.identity]}.get)).alias(c.name) for c in components.values()]
+                df = df.groupBy(*keys).agg(*merged) if merged else df.select(*keys).distinct()
+                out.append(GrainGroup(fact, {a: labels[a] for a in shown}, components, df, levels))
+                continue
+            scan = self._scan(fact, asked, rows)
             components = {c.name: c for d in parts.values() for c in d.components}
             levels = tuple(dict.fromkeys(x for d in parts.values() for x in d.level))
             keys = [F.col(f"`{scan.columns[a]}`").alias(labels[a]) for a in shown] + [F.expr(x).alias(self._level(x)) for x in levels]
             agg = [F.expr(c.accumulate).alias(c.name) for c in components.values()]
             df = scan.frame.groupBy(*keys).agg(*agg) if agg else scan.frame.select(*keys).distinct()
-            out.append(GrainGroup(fact, {a: labels[a] for a in shown}, components, df))
-            out[-1].levels = levels
+            out.append(GrainGroup(fact, {a: labels[a] for a in shown}, components, df, levels))
         return out
 
     @staticmethod
     def _level(expression: str) -> str:
         return expression if re.fullmatch(r"\w+", expression) else "level_" + re.sub(r"\W+", "_", expression).strip("_")
 
-    def combined_measures(self, metrics: Iterable[str], dimensions: Iterable[str] = (), filters: Iterable[str] = ()) -> DataFrame:
-        """Components of all facts in one table, one row per dimensions; only freely mergeable ones can be combined."""
-        groups = self.measures(metrics, dimensions, filters)
+    def combined_measures(self, metrics: Iterable[str], dimensions: Iterable[str] = (), filters: Iterable[str] = (), stored: bool = False) -> DataFrame:
+        """Components of all facts in one table, one row per dimensions; only freely mergeable ones can be combined.
+
+        stored: from rollups where they hold the answer.
+        """
+        groups = self.measures(metrics, dimensions, filters, stored)
         if len(groups) > 1 and any(g.levels for g in groups):
             raise ModelError("counts of distinct values of several facts have no common grain")
+        return self._combined(groups)
+
+    @staticmethod
+    def _combined(groups: list[GrainGroup]) -> DataFrame:
         df, keys = groups[0].frame, [*groups[0].dimensions.values()]
         for g in groups[1:]:
             df = df.unionByName(g.frame, allowMissingColumns=True)
@@ -505,20 +775,30 @@ class Engine:
         """Stores the grain groups of some metrics, and answers later requests from them.
 
         write(frame, name) stores a table and returns it. A rollup of filtered rows
-        is only used where ``covered`` says which bounds it holds.
+        is only used where the request's filters imply its own, or where
+        ``covered`` says which bounds it holds.
         """
-        out = []
-        for g in self.measures(metrics, dimensions, filters):
+        filters = [*filters]
+        out, groups = [], self.measures(metrics, dimensions, filters)
+        if wrong := [m for g in groups for m in g.whole]:
+            raise ModelError(f"{wrong} can't be stored in parts")
+        for g in groups:
             stored = write(g.frame, f"{name}_{g.parent}".replace(".", "_"))
-            out.append(self.register_rollup(f"{name}_{g.parent}", g.parent, {str(a): c for a, c in g.dimensions.items()}, {c.identity: n for n, c in g.components.items()}, stored, g.levels, covered))
+            out.append(self.register_rollup(f"{name}_{g.parent}", g.parent, {str(a): c for a, c in g.dimensions.items()}, {c.identity: n for n, c in g.components.items()}, stored, g.levels, covered, filters))
         return out
 
-    def register_rollup(self, name: str, parent: str, dimensions: dict[str, str], components: dict[str, str], frame: DataFrame, levels: tuple[str, ...] = (), covered: dict[str, tuple] | None = None) -> Rollup:
-        own = Rollup(name, parent, {Attribute.parse(a): c for a, c in dimensions.items()}, components, levels, frame, {Attribute.parse(a): x for a, x in (covered or {}).items()})
+    def register_rollup(self, name: str, parent: str, dimensions: dict[str, str], components: dict[str, str], frame: DataFrame, levels: tuple[str, ...] = (), covered: dict[str, tuple] | None = None, filters: Iterable[str] = ()) -> Rollup:
+        own = Rollup(name, parent, {Attribute.parse(a): c for a, c in dimensions.items()}, components, levels, frame, {Attribute.parse(a): x for a, x in (covered or {}).items()}, tuple(filters))
         self.rollups.append(own)
         return own
 
-    def _stored(self, fact: str, metrics: list[str], asked: list[Attribute], shown: list[Attribute], filters: list[str]) -> tuple[Rollup, _Scan] | None:
+    @staticmethod
+    def _left_over(r: Rollup, filters: list[str]) -> list[str]:
+        """Filters that a rollup's rows don't meet already."""
+        met = {_same(f) for f in r.filters}
+        return [f for f in filters if _same(f) not in met]
+
+    def _stored(self, fact: str, metrics: list[str], shown: list[Attribute], filters: list[str]) -> tuple[Rollup, _Scan] | None:
         """The rollup with the fewest joins, then the fewest dimensions, that answers the request, and a scan of it."""
         parts = [decompose(to_spark(self.registry.metrics[m].expression), fact) for m in metrics]
         if any(d.aggregability is Aggregability.NONE for d in parts):
@@ -532,6 +812,9 @@ class Engine:
                 continue
             if not all(self._within(f, a, r.covered[a]) for a in r.covered for f in [filters]) and (self.check_freshness or r.covered):
                 continue
+            if not all(implied(f, filters) or (r.covered and set(self._attributes(f)) <= set(r.covered)) for f in r.filters):
+                continue
+            asked = [*shown, *(a for f in self._left_over(r, filters) for a in self._attributes(f))]
             joins = self._joined_back(fact, r, [a for a in dict.fromkeys(asked) if a not in r.dimensions])
             if joins is None:
                 continue
@@ -637,22 +920,39 @@ class Engine:
         return out.select(*[F.col("`" + (x.rpartition(".")[2] if x in self.registry.metrics else labels[Attribute.parse(x)]) + "`") for x in chosen])
 
     def lineage(self, node: str) -> dict[str, list[str]]:
-        """For each column of an SQL node: the columns it is computed from, as node.column, read off the analysed plan."""
-        plan = self.frame(node)._jdf.queryExecution().analyzed().toString()
-        made = {m[2]: (m[1], m[2]) for m in re.finditer(r"(\w+)#(\d+)", plan)}
-        from_ids: dict[str, set[str]] = {}
-        for m in re.finditer(r"((?:[^,\[\]()]|\([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*\))+) AS (\w+)#(\d+)", plan):
-            from_ids.setdefault(m[3], set()).update(re.findall(r"\w+#(\d+)", m[1]))
-
-        def roots(k: str, seen: frozenset = frozenset()) -> set[str]:
-            deeper = from_ids.get(k, set()) - seen - {k}
-            return set().union(*(roots(x, seen | {k}) for x in deeper)) if deeper else {k}
-
-        sources = {re.findall(r"#(\d+)", str(a))[0]: f"{n}.{a.name()}" for n in self.registry.upstream(node) if self.registry.node(n).query is None for a in self._outputs(n)}
-        out = {}
-        for a in self._outputs(node):
-            k = re.findall(r"#(\d+)", a.toString())[0]
-            out[a.name()] = sorted({sources.get(x, made.get(x, ("?",))[0]) for x in roots(k)})
+        """For each column of an SQL node: the columns it is computed from, as node.column, by the analysed plan's expressions."""
+        plan = self.frame(node)._jdf.queryExecution().analyzed()
+        from_ids: dict[int, set[int]] = {}
+        for x in json.loads(plan.toJSON()):
+            for expressions in _trees(x):
+                for k, e in enumerate(expressions):
+                    if e["class"].endswith(".Alias"):
+                        own = expressions[k + 1 : _end(expressions, k)]
+                        from_ids.setdefault(e["exprId"]["id"], set()).update(y["exprId"]["id"] for y in own if y["class"].endswith(".AttributeReference"))
+        for union in self._unions(plan):
+            for made, others in union:
+                from_ids.setdefault(made, set()).update(others)
+
+        def roots(k: int, seen: frozenset = frozenset()) -> set[int]:
+            own = from_ids.get(k, set())
+            found = set().union(*(roots(x, seen | {k}) for x in own - seen - {k}))
+            return found | {k} if k in own or not own else found  # a union's column has the id of its first branch's
+
+        sources = {a.exprId().id(): f"{n}.{a.name()}" for n in self.registry.upstream(node) if self.registry.node(n).query is None for a in self._outputs(n)}
+        return {a.name(): sorted({sources.get(x, "?") for x in roots(a.exprId().id())} - {"?"}) for a in self._outputs(node)}
+
+    @staticmethod
+    def _unions(plan) -> list[list[tuple[int, set[int]]]]:
+        """Of each union: the id of each column of its result, and the ids of what its branches put there."""
+        out, todo = [], [plan]
+        while todo:
+            p = todo.pop()
+            below = [p.children().apply(k) for k in range(p.children().size())]
+            todo += below
+            if p.getClass().getSimpleName() in ("Union", "Intersect", "Except"):
+                each = [[b.output().apply(k).exprId().id() for k in range(b.output().size())] for b in below]
+                own = [p.output().apply(k).exprId().id() for k in range(p.output().size())]
+                out.append([(o, {ids[k] for ids in each}) for k, o in enumerate(own)])
         return out
 
     def _outputs(self, node: str) -> list:

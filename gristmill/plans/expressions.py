@@ -16,7 +16,7 @@ _TOKEN = re.compile(
     re.S,
 )
 # Functions that aggregate.
-AGGREGATES = frozenset(
+AGGREGATES = set(
     "any_value approx_count_distinct approx_percentile array_agg avg collect_list collect_set corr count count_if count_min_sketch covar_pop covar_samp every first "
     "histogram_numeric hll_sketch_agg hll_union_agg kurtosis last max max_by mean median min min_by mode percentile percentile_approx stddev stddev_pop stddev_samp sum "
     "variance var_pop var_samp bool_and bool_or some skewness approx_count_distinct_ds_hll approx_count_distinct_ds_theta".split()

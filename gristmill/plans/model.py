@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import difflib
 import graphlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from gristmill.plans.expressions import calls, names
+from gristmill.plans.expressions import calls, names, tokens
 
 HINTS = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl")
 JOINS = ("left", "right", "inner", "full", "cross")
@@ -28,11 +28,17 @@ class Node:
     query: str | None = None
     primary_key: tuple[str, ...] = ()
     kind: str = "transform"  # source, transform or dimension
+    derived: tuple[tuple[str, str], ...] = ()  # (column, SQL over the primary key) of columns that the key tells
+    columns: tuple[tuple[str, str], ...] = ()  # (column, type) of a source, where they were read off the table
 
 
 @dataclass(frozen=True)
 class Link:
-    """A join edge. ``on`` names columns as node.column; ``default`` stands in for a dimension's values on a miss."""
+    """A join edge. ``on`` names columns as node.column; ``default`` stands in for a dimension's values on a miss.
+
+    ``total``: declares that the dimension has every key of the node, so that
+    columns derived from the key need no join.
+    """
 
     node: str
     dimension: str
@@ -42,6 +48,7 @@ class Link:
     cardinality: str = "many_to_one"
     hint: str | None = None
     default: str | None = None
+    total: bool = False
 
     @property
     def pairs(self) -> tuple[tuple[str, str], ...] | None:
@@ -129,16 +136,19 @@ class Registry:
     cubes: dict[str, Cube] = field(default_factory=dict)
     hierarchies: dict[str, Hierarchy] = field(default_factory=dict)
 
-    def source(self, name: str, table: str | None = None, primary_key: Iterable[str] = ()) -> Node:
-        return self._put(Node(name, table or name, None, tuple(primary_key), "source"))
+    def source(self, name: str, table: str | None = None, primary_key: Iterable[str] = (), columns: Iterable[tuple[str, str]] = ()) -> Node:
+        return self._put(Node(name, table or name, None, tuple(primary_key), "source", columns=tuple(columns)))
 
     def transform(self, name: str, query: str, primary_key: Iterable[str] = ()) -> Node:
         return self._put(Node(name, None, query, tuple(primary_key), "transform"))
 
-    def dimension(self, name: str, query: str | None = None, primary_key: Iterable[str] = (), table: str | None = None) -> Node:
+    def dimension(self, name: str, query: str | None = None, primary_key: Iterable[str] = (), table: str | None = None, derived: dict[str, str] | None = None) -> Node:
         if not (key := tuple(primary_key)):
             raise ModelError(f"dimension {name} needs a primary key")
-        return self._put(Node(name, table, query, key, "dimension"))
+        for column, text in (derived or {}).items():
+            if wrong := {t.text for t in names(text)} - set(key):
+                raise ModelError(f"{name}.{column} is derived from {sorted(wrong)}, not from the key alone")
+        return self._put(Node(name, table, query, key, "dimension", tuple((derived or {}).items())))
 
     def _put(self, node: Node) -> Node:
         self.nodes[node.name] = node
@@ -309,6 +319,28 @@ class Registry:
         wanted = {Attribute.parse(d).node for d in dimensions}
         return [m for m in self.metrics if wanted <= {a.node for p in self.parents(m)[:1] for a in self.dimensions_of(p)} and all(wanted <= {a.node for a in self.dimensions_of(p)} for p in self.parents(m))]
 
+    def impact(self, name: str, gone: Iterable[str] = ()) -> dict[str, str]:
+        """What a change of a node, or the loss of some of its columns, does to what is made of it: "broken" or "touched".
+
+        Links, metrics and nodes are broken if their own text names a lost column
+        of the node; what is made of something broken is broken as well.
+        """
+        gone, out = {*gone}, {}
+        for x in self.downstream(name):
+            text = self.metrics[x].expression if x in self.metrics else self.nodes[x].query or ""
+            above = [*self._reads(x), *(self.metric_parts(x) if x in self.metrics else [])]
+            own = name in above and any(t.text.rpartition(".")[2] in gone for t in names(text))
+            out[x] = "broken" if own or any(out.get(p) == "broken" for p in above) else "touched"
+        for k in self.links:
+            if name in (k.node, k.dimension):
+                out[f"{k.node} -> {k.dimension}"] = "broken" if any(t.text == f"{name}.{c}" for t in names(k.on) for c in gone) else "touched"
+        return out
+
+    def similarity(self, a: str, b: str) -> float:
+        """How alike the texts of two nodes or metrics are: shared words over all words, each counted as often as it is there."""
+        own = [Counter(t.text.lower() for t in tokens((self.metrics[x].expression if x in self.metrics else self.node(x).query) or x)) for x in (a, b)]
+        return sum((own[0] & own[1]).values()) / max(1, sum((own[0] | own[1]).values()))
+
     def in_degree(self) -> dict[str, int]:
         """How many links reach each dimension."""
         return {n: sum(x.dimension == n for x in self.links) for n, own in self.nodes.items() if own.kind == "dimension"}

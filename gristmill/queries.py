@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill import function_queries
 from gristmill.functions.dialect import bind_logical_time, to_spark
 from gristmill.models.retail import engine
 from gristmill.operators import relational
@@ -50,6 +51,16 @@ def _spark_sql(name: str, text: str, sql: str | None = None) -> None:
 
 REV = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))"
 ITEMS = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
+#: What the model says, as SQL: dimensions that both facts reach, and what is made of the orders.
+COMMON = """
+SELECT * FROM (VALUES ('order_dim.o_orderkey'), ('supplier.s_suppkey[supplier]'), ('part.p_partkey'), ('day.d[ship]'), ('day.d[order]'),
+  ('customer.c_custkey[customer]'), ('nation.n_nationkey[supplier]'), ('nation.n_nationkey[customer]'),
+  ('region.r_regionkey[supplier]'), ('region.r_regionkey[customer]')) AS t(attribute)
+"""
+DOWNSTREAM = """
+SELECT * FROM (VALUES ('day'), ('order_facts'), ('order_dim'), ('order_value'), ('order_count'), ('buyers'), ('average_order'), ('value_share'),
+  ('value_rank'), ('month_change'), ('trailing_quarter'), ('revenue_per_order'), ('order_index'), ('cross_change')) AS t(name)
+"""
 OM = "CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER)"
 
 # The metrics engine -------------------------------------------------------------------------------------------------
@@ -95,8 +106,12 @@ _add("metric_combined_measures", lambda s, d: (lambda df: df.select("o_orderprio
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='gristmill-')}/rollup-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+    return f"{shared.rstrip('/')}/rollup-{uuid.uuid4().hex}"
 
 
 def _rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,6 +126,66 @@ def _rollup(spark: SparkSession, folder: str) -> DataFrame:
 _add("metric_rollup_substitution", _rollup, "SELECT c_mktsegment AS c_mktsegment_customer, round(sum(o_totalprice), 4) AS order_value, count(o_orderkey) AS order_count FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) * 100 + month(o_orderdate) >= 199701 GROUP BY 1")
 
 
+def _filtered_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Three requests beside a rollup of orders from 1996 on: all rows, tighter rows, the same rows."""
+    e, at = engine(spark, folder), _folder(spark)
+    e.materialize("late", ["order_value", "order_count"], ["order_facts.o_orderstatus", "day.year[order]"], lambda df, n: write(df, f"{at}/{n}"), ["day.year[order] >= 1996"])
+    out, used = [], []
+    for kind, filters in (("all", []), ("tighter", ["day.year[order] > 1996 AND order_facts.o_orderstatus <> 'P'"]), ("same", ["day.year[order] >= 1996"])):
+        out.append(e.query(["order_count"], ["order_facts.o_orderstatus"], filters).select(F.lit(kind).alias("kind"), "*"))
+        used.append(bool(e.used))
+    if used != [False, True, True]:
+        raise AssertionError(f"the rollup was used for {used}")
+    return out[0].union(out[1]).union(out[2])
+
+
+_add(
+    "metric_rollup_filtered",
+    _filtered_rollup,
+    """
+SELECT 'all' AS kind, o_orderstatus, count(o_orderkey) AS order_count FROM orders GROUP BY 2
+UNION ALL SELECT 'tighter', o_orderstatus, count(o_orderkey) FROM orders WHERE year(o_orderdate) > 1996 AND o_orderstatus <> 'P' GROUP BY 2
+UNION ALL SELECT 'same', o_orderstatus, count(o_orderkey) FROM orders WHERE year(o_orderdate) >= 1996 GROUP BY 2
+""",
+)
+_metrics(
+    "metric_filter_functions",
+    """
+SELECT o_orderstatus, count(o_orderkey) AS order_count FROM orders
+WHERE CAST(o_totalprice AS FLOAT) > 1000 AND CAST(o_orderdate AS DATE) < CURRENT_DATE AND EXTRACT(YEAR FROM o_orderdate) IN (1995, 1996, 1997)
+  AND upper(substr(o_orderpriority, 1, 1)) BETWEEN '1' AND '3'
+GROUP BY 1
+""",
+    ["order_count"],
+    ["order_facts.o_orderstatus"],
+    filters=[
+        "CAST(order_facts.o_totalprice AS FLOAT) > 1000 AND order_facts.o_day < CURRENT_DATE",
+        "EXTRACT(YEAR FROM order_facts.o_day) IN (1995, 1996, 1997)",
+        "upper(substr(order_facts.o_orderpriority, 1, 1)) BETWEEN '1' AND '3' AND exists(array(1, 2), x -> x > 1)",
+    ],
+)
+_metrics(
+    "metric_more_aggregates",
+    """
+SELECT l_returnflag, any_value(l_returnflag) AS some_flag, round(stddev_pop(l_quantity), 4) AS quantity_stddev_pop, round(var_samp(l_quantity), 4) AS quantity_var_samp,
+  round(covar_pop(l_quantity, l_tax), 4) AS quantity_tax_covar_pop, min_by(l_linenumber, l_orderkey * 10 + l_linenumber) AS first_line,
+  round(variance(l_tax), 4) AS tax_variance, round(stddev(l_tax), 4) AS tax_stddev
+FROM lineitem GROUP BY 1
+""",
+    ["some_flag", "quantity_stddev_pop", "quantity_var_samp", "quantity_tax_covar_pop", "first_line", "tax_variance", "tax_stddev"],
+    ["item_facts.l_returnflag"],
+)
+_metrics(
+    "metric_mixed_kinds",
+    """
+SELECT l_returnflag, round(sum(l_quantity) / median(l_quantity), 4) AS quantity_per_median, count(DISTINCT l_orderkey) AS shipped_orders, count(*) AS items
+FROM lineitem GROUP BY 1
+""",
+    ["quantity_per_median", "shipped_orders", "items"],
+    ["item_facts.l_returnflag"],
+)
+
+
 def _incremental(spark: SparkSession, folder: str) -> DataFrame:
     e, at = engine(spark, folder), _folder(spark)
     build = lambda t: e.query(["order_value"], ["day.month[order]"], []).where(period_filter(F.col("month_order"), t, "2 months", "yyyyMM"))
@@ -120,9 +195,9 @@ def _incremental(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _add("sink_incremental_backfill", _incremental, f"SELECT {OM} AS month_order, round(sum(o_totalprice), 4) AS order_value FROM orders WHERE {OM} BETWEEN 199601 AND 199605 GROUP BY 1")
-_add("model_common_dimensions", lambda s, d: s.createDataFrame([(str(a),) for a in engine(s, d).registry.common_dimensions(["revenue", "order_count"])], "attribute string"))
+_add("model_common_dimensions", lambda s, d: s.createDataFrame([(str(a),) for a in engine(s, d).registry.common_dimensions(["revenue", "order_count"])], "attribute string"), COMMON)
 _add("model_lineage", lambda s, d: s.createDataFrame([(c, x) for c, own in engine(s, d).lineage("order_facts").items() for x in own], "column string, source string"), "SELECT * FROM (VALUES ('o_orderkey', 'orders.o_orderkey'), ('o_custkey', 'orders.o_custkey'), ('o_orderstatus', 'orders.o_orderstatus'), ('o_totalprice', 'orders.o_totalprice'), ('o_orderpriority', 'orders.o_orderpriority'), ('o_day', 'orders.o_orderdate')) AS t(\"column\", source)")
-_add("model_downstream", lambda s, d: s.createDataFrame([(x,) for x in engine(s, d).registry.downstream("orders")], "name string"))
+_add("model_downstream", lambda s, d: s.createDataFrame([(x,) for x in engine(s, d).registry.downstream("orders")], "name string"), DOWNSTREAM)
 
 # Relational operators of node SQL -----------------------------------------------------------------------------------
 
@@ -168,3 +243,4 @@ _spark_sql("fn_hashes", "SELECT n_nationkey AS k, md5(n_name) AS a, sha2(n_name,
 _spark_sql("fn_sketches", "SELECT l_returnflag AS k, approx_count_distinct_ds_hll(l_partkey) AS a, approx_count_distinct_ds_theta(l_partkey) AS b, approx_percentile(l_quantity, 0.5D) AS c FROM {lineitem} GROUP BY l_returnflag", "")
 _spark_sql("fn_generators", "SELECT n_nationkey AS k, u FROM {nation} LATERAL VIEW OUTER explode(if(n_regionkey > 2, array(1, n_regionkey), array())) t AS u", "SELECT n_nationkey AS k, unnest(CASE WHEN n_regionkey > 2 THEN [1, n_regionkey] ELSE [NULL] END) AS u FROM nation")
 _add("fn_logical_time", lambda s, d: s.sql(bind_logical_time("SELECT logical_timestamp('yyyyMMdd') AS day, logical_timestamp() AS at", "2024-05-06 07:00:00")), "SELECT '20240506' AS day, '2024-05-06 07:00:00' AS at")
+function_queries.register(_spark_sql)

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.plans.model import Registry
+
 STRATEGIES = ("full", "snapshot", "snapshot_partition", "incremental_time", "view", "external")
 
 
@@ -57,6 +59,24 @@ def write(df: DataFrame, target: str, strategy: str = "full", partition_by: Iter
     return spark.read.parquet(target)
 
 
+def publish(df: DataFrame, name: str, version: str) -> tuple[str, str]:
+    """A table as two views: one of its version, which stays as it is, and one of its name, which moves to the newest."""
+    versioned = f"{name}_v{version}".replace(".", "_")
+    df.createOrReplaceTempView(versioned)
+    df.sparkSession.table(versioned).createOrReplaceTempView(name)
+    return versioned, name
+
+
+def reflect(registry: Registry, read: Callable[[str], DataFrame], tables: Iterable[str]) -> dict[str, dict[str, str]]:
+    """Registers tables or views as sources, with the columns and types that they have."""
+    out = {}
+    for t in tables:
+        own = read(t)
+        registry.source(t.replace(".", "_"), t, columns=tuple(own.dtypes))
+        out[t] = dict(own.dtypes)
+    return out
+
+
 def period_filter(column: Column, logical_time: str, lookback: str | None = None, fmt: str = "yyyyMMdd", kind: str = "int") -> Column:
     """Rows of the run's period, or of the periods from the look-back interval up to it."""
     now = F.expr(f"TIMESTAMP '{logical_time}'")

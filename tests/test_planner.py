@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,11 +10,11 @@ from pyspark.sql import functions as F
 from gristmill.functions.dialect import bind_logical_time, to_spark
 from gristmill.models.retail import engine, registry
 from gristmill.operators import relational
-from gristmill.plans.decompose import Aggregability, decompose
-from gristmill.plans.engine import Engine, FanOutWarning
+from gristmill.plans.decompose import Aggregability, decompose, decomposes
+from gristmill.plans.engine import Engine, FanOutWarning, implied
 from gristmill.plans.expressions import calls, over, safe_division
 from gristmill.plans.model import Attribute, ModelError, Registry
-from gristmill.sources.tables import Availability, scan_bytes, write
+from gristmill.sources.tables import Availability, publish, reflect, scan_bytes, write
 from gristmill.streaming.incremental import refresh, upsert_stream
 
 
@@ -203,3 +205,142 @@ def test_self_join_role(spark):
     got = Engine(spark, r, lambda _: df).query(["n"], ["employee.name[manager]"]).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([("ann", 2), (None, 1)], key=repr)
     assert str(Attribute.parse("a.b[c->d]")) == "a.b[c->d]"
+
+
+def test_filtered_rollups_answer_only_what_implies_their_filters(spark, folder, tmp_path):
+    e = engine(spark, folder)
+    e.materialize("late", ["order_count"], ["order_facts.o_orderstatus", "day.year[order]"], lambda df, n: write(df, f"{tmp_path}/{n}"), ["day.year[order] >= 1996"])
+    cases = [([], False), (["day.year[order] >= 1996"], True), (["day.year[order]  >=  1996 and order_facts.o_orderstatus = 'F'"], True), (["day.year[order] > 1995"], False)]
+    cases += [(["day.year[order] = 1997"], True), (["day.year[order] >= 1996 OR order_facts.o_orderstatus = 'F'"], False), (["day.year[order] < 1996"], False)]
+    for filters, used in cases:
+        got = e.query(["order_count"], ["order_facts.o_orderstatus"], filters)
+        assert bool(e.used) == used, filters
+        want = engine(spark, folder).query(["order_count"], ["order_facts.o_orderstatus"], filters)
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_implied():
+    assert implied("a.x >= 3", ["a.x > 3"]) and not implied("a.x > 3", ["a.x >= 3"]) and implied("a.x < 3", ["a.x <= 2"]) and implied("a.x >= 1", ["a.x = 5 AND b.y = 2"])
+    assert implied("A.x  = 'B'", ["a.X = 'B'"]) and not implied("a.x = 'B'", ["a.x = 'b'"]) and implied("a.x > 1 AND b.y = 2", ["b.y = 2", "a.x = 2"])
+    assert not implied("a.x > '10'", ["a.x > 11"]) and not implied("a.x = 3", ["a.x >= 3"]) and not implied("a.x > 3", ["b.x > 4"])
+
+
+def test_cube_table_answers_what_it_covers(spark, folder, tmp_path):
+    e = engine(spark, folder)
+    e.registry.cube("wide", ["order_value", "order_count", "quantity", "revenue_per_order"], ["order_dim.o_orderpriority", "day.year[order]"])
+    requests = [(["order_value", "quantity"], ["order_dim.o_orderpriority"], []), (["revenue_per_order"], ["day.year[order]"], ["order_dim.o_orderpriority <> '1-URGENT'"]), (["order_count"], [], [])]
+    want = [sorted(e.query(*r).collect(), key=repr) for r in requests]
+    e.materialize_cube("wide", lambda df, n: write(df, f"{tmp_path}/{n}"))
+    for r, w in zip(requests, want, strict=True):
+        got = sorted(e.query(*r).collect(), key=repr)
+        assert e.used == ["cube:wide"]
+        assert [[pytest.approx(x) if isinstance(x, float) else x for x in row] for row in w] == [list(row) for row in got]
+    e.query(["quantity"], ["day.year[ship]"])
+    assert not e.used
+    e.query(["order_value"], [], ["customer.c_mktsegment[customer] = 'BUILDING'"])
+    assert not e.used
+    with pytest.raises(ModelError, match="distinct"):
+        e.registry.cube("distinct", ["buyers"], ["day.year[order]"])
+        e.materialize_cube("distinct", lambda df, n: df)
+
+
+def test_combined_measures_from_rollups(spark, folder, tmp_path):
+    e = engine(spark, folder)
+    ask = (["order_value", "quantity"], ["order_dim.o_orderpriority"])
+    want = sorted(e.combined_measures(*ask).collect())
+    e.materialize("parts", ["order_value", "quantity"], ["order_dim.o_orderpriority", "day.year[order]"], lambda df, n: write(df, f"{tmp_path}/{n}"))
+    got = sorted(e.combined_measures(*ask, stored=True).collect())
+    assert len(e.used) == 2 and [[pytest.approx(x) if isinstance(x, float) else x for x in r] for r in want] == [list(r) for r in got]
+
+
+def test_native_grain_of_metrics_that_have_no_parts(spark, folder):
+    e = engine(spark, folder)
+    groups = e.measures(["median_quantity", "quantity"], ["item_facts.l_returnflag"])
+    own = next(g for g in groups if g.whole)
+    assert own.frame.columns == ["l_returnflag", "l_orderkey", "l_linenumber", "l_quantity"] and own.frame.count() == e.frame("item_facts").count()
+    assert len(groups) == 2
+    with pytest.raises(ModelError, match="merged"):
+        e.registry.metric("half", "median_quantity / 2")
+        e.query(["half"])
+
+
+def test_filters_on_dimensions_that_only_nodes_above_reach(spark):
+    r = Registry()
+    r.source("raw")
+    r.dimension("place", "SELECT k AS place_id, k * 10 AS code FROM places", ["place_id"])
+    r.source("places")
+    r.transform("kept", "SELECT id, place_id, v FROM raw", ["id"])
+    r.transform("summed", "SELECT id % 2 AS odd, sum(v) AS v FROM kept GROUP BY 1")
+    r.transform("passed", "SELECT id, place_id, v + 1 AS v FROM kept")
+    r.link("kept", "place", "kept.place_id = place.place_id")
+    r.metric("total", "SUM(v)", "summed")
+    r.metric("total_passed", "SUM(v)", "passed")
+    data = {"raw": spark.createDataFrame([(1, 1, 5), (2, 1, 7), (3, 2, 11)], "id int, place_id int, v int"), "places": spark.createDataFrame([(1,), (2,)], "k int")}
+    e = Engine(spark, r, data.__getitem__)
+    assert e.query(["total"], [], ["place.place_id = 1"]).first()[0] == 12 and e.query(["total"]).first()[0] == 23
+    assert e.query(["total_passed"], [], ["place.place_id = 2"]).first()[0] == 12
+    with pytest.raises(ModelError, match="reached"):
+        e.query(["total"], ["place.place_id"])
+    with pytest.raises(ModelError, match="reached"):
+        e.query(["total"], [], ["place.code = 10"])
+
+
+def test_lineage_of_unions_and_long_plans(spark):
+    r = Registry()
+    r.source("a")
+    r.source("b")
+    wide = ", ".join(f"upper(concat(x, '{k}', y)) AS c{k}" for k in range(60))
+    r.transform("u", "SELECT x, y FROM a UNION ALL SELECT p, q FROM b")
+    r.transform("w", f"SELECT CASE WHEN x > 'm' THEN y END AS pick, count(*) OVER (PARTITION BY y) AS n, {wide} FROM u")
+    data = {"a": spark.createDataFrame([("1", "2")], "x string, y string"), "b": spark.createDataFrame([("1", "2")], "p string, q string")}
+    got = Engine(spark, r, data.__getitem__).lineage("w")
+    assert got["pick"] == got["c59"] == ["a.x", "a.y", "b.p", "b.q"] and got["n"] == ["a.y", "b.q"]
+
+
+def test_registered_decomposition(spark):
+    @decomposes("bool_or")
+    def either(call, make):
+        c = make("max", call.args[0])
+        return [c], c.merge
+
+    d = decompose("BOOL_OR(x > 1)", "t")
+    assert [c.accumulate for c in d.components] == ["max(x > 1)"] and d.final == f"({d.components[0].merge})"
+
+
+def test_asof_in_buckets_and_salts_of_equal_rows(spark):
+    r = random.Random(4)
+    left = spark.createDataFrame([(r.choice(["a", "b", None]), r.randrange(1000), k) for k in range(300)], "k string, t int, id int")
+    right = spark.createDataFrame([(r.choice(["a", "b", None]), r.randrange(1000), k) for k in range(60)], "k string, s int, v int")
+    whole = relational.asof(left, right, ["k"], "t", "s", ["v"])
+    parts = relational.asof(left, right, ["k"], "t", "s", ["v"], bucket=lambda t: F.floor(t / 50))
+    assert sorted(whole.collect(), key=repr) == sorted(parts.collect(), key=repr) and whole.where("v is not null").count() > 100
+    equal = spark.range(4000).select(F.lit(1).alias("k"))
+    joined = relational.skewed_join(equal, spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], 8)
+    assert joined.count() == 4000
+    salted = equal.withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))).groupBy("s").count().collect()
+    assert len(salted) == 8
+
+
+def test_views_reflection_impact(spark):
+    one, two = spark.createDataFrame([(1, "x")], "id long, name string"), spark.createDataFrame([(2, "y")], "id long, name string")
+    assert publish(one, "shop_cube", "1") == ("shop_cube_v1", "shop_cube")
+    publish(two, "shop_cube", "2")
+    assert [spark.table(t).first()[0] for t in ("shop_cube_v1", "shop_cube_v2", "shop_cube")] == [1, 2, 2]
+    r = Registry()
+    assert reflect(r, spark.table, ["shop_cube"]) == {"shop_cube": {"id": "bigint", "name": "string"}} and r.node("shop_cube").columns[0] == ("id", "bigint")
+    m = registry()
+    lost = m.impact("orders", ["o_totalprice"])
+    assert lost["order_facts"] == lost["order_value"] == "broken" and lost["order_dim"] == "touched"
+    assert m.similarity("order_facts", "order_dim") > m.similarity("order_facts", "nation")
+
+
+def test_suggestions_and_free_filters(spark, folder):
+    e = engine(spark, folder)
+    with pytest.raises(ModelError, match="is it order_count"):
+        e.query(["order_value"], [], ["order_cuont > 1"])
+    assert e.query(["order_count"], [], ["CAST(order_facts.o_totalprice AS FLOAT) > 0 AND order_facts.o_day < CURRENT_DATE"]).first()[0] > 0
+
+
+def test_derived_attributes_need_no_join(spark, folder):
+    plan = engine(spark, folder).query(["order_value"], ["day.month[order]"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
