@@ -3,8 +3,8 @@
 Stages: toxic documents go; of near duplicates the first stays; documents that
 hold benchmark items go; secrets are masked in the texts; what is left is packed.
 Every stage is one operator of ``gristmill.llm`` and a decision taken on it.
-A document with a null id is kept by the stages that decide by id, as no other
-row can be told to be the same document.
+Decisions fall on a document's id; a row of a null id is addressed by its text
+instead, so it is decontaminated and deduplicated as any other.
 """
 
 from __future__ import annotations
@@ -24,18 +24,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < REJECT_FROM).select("row.*")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): rows of a null id get an id made of their text, far above those of tables."""
+    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc_id"), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group; rows that repeat one id are one document, and one row stays."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(left.where("doc_id is null")).select(*docs.columns)
+    """Keeps the document of least id of each group. Of rows that repeat id and text one stays; other texts of a kept id stay."""
+    named = _named(docs)
+    gone = near_dedup.near_duplicates(named).where("not kept").select("doc_id").distinct()
+    left = named.join(gone, "doc_id", "left_anti")
+    # Few ids have several rows; only those are compared by text.
+    several = materialize(left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
+    first = left.join(several, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("row").alias("row"))
+    return left.join(several, "doc_id", "left_anti").select("row").union(first.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
-    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    named = _named(docs)
+    held = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return named.join(held, "doc_id", "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
