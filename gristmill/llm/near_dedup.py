@@ -71,7 +71,7 @@ VERIFIED = 128
 #: Candidate ids up to this number (24 bytes each) are broadcast to pick their texts; beyond it they are joined by shuffle.
 MOST_BROADCAST = 300_000
 #: Words whose hash a worker remembers.
-CACHE = 200_000
+CACHE = 50_000
 
 # Odd 64-bit and 32-bit mixing constants (golden ratio, and the finalizers of splitmix64 and murmur3).
 GOLDEN = 0x9E3779B97F4A7C15

@@ -10,9 +10,9 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Bytes of words a worker remembers, in each of two generations.
-CACHE_BYTES = 60_000_000
+CACHE_BYTES = 30_000_000
 #: Characters that are encoded before the words' memory is looked at.
-STEP = 2_000_000
+STEP = 1_000_000
 #: Words the library's model takes as they are: Latin letters, and a run of ASCII marks behind them.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 # The normalizer and the pre-tokenizer for which a text's ids are those of its words.
