@@ -200,6 +200,11 @@ TEXTS: dict[str, tuple[str, str]] = {
         "FROM (SELECT n_regionkey % 2 AS k, hll_sketch_agg(n_nationkey) AS s FROM {nation} GROUP BY 1) x",
         "SELECT count(DISTINCT n_nationkey) AS two, count(DISTINCT n_nationkey) AS whole, count(DISTINCT n_nationkey) AS other_name FROM {nation}",
     ),
+    "fn_sketch_errors": (
+        "SELECT l_returnflag, abs(approx_count_distinct(l_partkey) / count(DISTINCT l_partkey) - 1) < 0.15 AS plain, abs(approx_count_distinct_ds_hll(l_partkey) / count(DISTINCT l_partkey) - 1) < 0.1 AS hll,\n"
+        "  abs(approx_count_distinct_ds_theta(l_partkey) / count(DISTINCT l_partkey) - 1) < 0.1 AS theta, abs(approx_percentile(l_quantity, 0.5D) - median(l_quantity)) <= 1 AS middle FROM {lineitem} GROUP BY 1",
+        "SELECT DISTINCT l_returnflag, true AS plain, true AS hll, true AS theta, true AS middle FROM {lineitem}",
+    ),
     "fn_json_tuple": (
         "SELECT n_nationkey, t.a, t.b FROM {nation} LATERAL VIEW json_tuple(concat('{{\"a\":', n_nationkey, ',\"b\":\"', n_name, '\"}}'), 'a', 'b') t AS a, b",
         "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS a, n_name AS b FROM {nation}",

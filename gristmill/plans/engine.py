@@ -498,6 +498,10 @@ class Engine:
             df = df.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in df.columns if c not in keys])
         if densify:
             df = self._dense(df, order, shown, labels, filters)
+        return self._derived_metrics(df, order, shown, labels, filters)
+
+    def _derived_metrics(self, df: DataFrame, order: list[str], shown: list[Attribute], labels: dict[Attribute, str], filters: list[str]) -> DataFrame:
+        """Adds the metrics of ``order`` that are made of others."""
         for m in order:
             own = self.registry.metrics[m]
             if own.parent is not None:
@@ -605,7 +609,13 @@ class Engine:
         if finer and any(c.name in ("lag", "lead") for c in steps):
             coarse = [a for a in shown if a not in finer]
             parts = self.registry.metric_order([metric])
-            own = self._values(parts, coarse, labels, filters).select(*[F.col(f"`{labels[a]}`").alias(f"k{k}") for k, a in enumerate(coarse)], column)
+            again = {m: self._merged_again(m) for m in parts if self.registry.metrics[m].parent}
+            if all(again.values()):  # from the rows at hand
+                own = df.groupBy(*[F.col(f"`{labels[a]}`") for a in coarse]).agg(*[F.expr(x).alias(self._column(m)) for m, x in again.items()])
+                own = self._derived_metrics(own, parts, coarse, labels, filters)
+            else:
+                own = self._values(parts, coarse, labels, filters)
+            own = own.select(*[F.col(f"`{labels[a]}`").alias(f"k{k}") for k, a in enumerate(coarse)], column)
             on = [F.col(f"`{labels[a]}`").eqNullSafe(F.col(f"k{k}")) for k, a in enumerate(coarse)]
             return df.join(own, on, "left").drop(*[f"k{k}" for k in range(len(coarse))])
 
@@ -629,6 +639,14 @@ class Engine:
         rest = [(t.start, t.end, x) for t in names(expression) if not any(a <= t.start < b for a, b in inside) and (x := name(t.text)) is not None]
         return df.withColumn(column, F.expr(safe_division(to_spark(replace_spans(expression, spans + rest)))))
 
+    def _merged_again(self, metric: str) -> str | None:
+        """SQL that merges a metric's own values to a coarser grain; None if it takes more than its value."""
+        own = self.registry.metrics[metric]
+        d = decompose(to_spark(own.expression), own.parent)
+        if d.aggregability is not Aggregability.FULL or len(d.components) != 1 or d.final not in (f"({(c := d.components[0]).merge})", f"(coalesce({c.merge}, 0))"):
+            return None
+        return d.final.replace(c.name, self._column(metric))
+
     def _looked_back(self, order: list[str], shown: list[Attribute], filters: list[str]) -> tuple[list[str], list[str]]:
         """Filters for the scan, and those to apply again above windows.
 

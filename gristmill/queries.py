@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill import function_queries
+from gristmill import function_queries, model_queries
 from gristmill.functions.dialect import bind_logical_time, to_spark
 from gristmill.models.retail import engine
 from gristmill.operators import relational
@@ -894,3 +894,4 @@ _add(
     "SELECT '20240506' AS day, '2024-05-06 07:00:00' AS at",
 )
 function_queries.register(_spark_sql)
+model_queries.register(_add, _folder)

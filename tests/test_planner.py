@@ -344,3 +344,9 @@ def test_suggestions_and_free_filters(spark, folder):
 def test_derived_attributes_need_no_join(spark, folder):
     plan = engine(spark, folder).query(["order_value"], ["day.month[order]"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Union" not in plan
+
+
+def test_lag_at_a_coarser_grain_reads_the_fact_once(spark, folder):
+    df = engine(spark, folder).query(["month_change"], ["day.month[order]", "day.d[order]"])
+    files = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x]
+    assert len(files) == len([x for x in files if "o_totalprice" in x]) and df.count() > 0
