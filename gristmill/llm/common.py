@@ -11,6 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Items that a fold gathers before it goes on with an empty list.
+STEP = 256
+#: Code points of the blocks that texts are cut from.
+BLOCK = 4096
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +70,46 @@ def is_small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def none_of(kind: str) -> Column:
+    """An empty array."""
+    return F.array().cast(f"array<{kind}>")
+
+
+def fold(items: Column, zero: Column, step, kind: str) -> Column:
+    """What step(state, item) -> (state, array of what to put out) puts out along the items, as one array.
+
+    An array that grows is copied at each step, so it grows to ``STEP`` items only.
+    """
+    last = F.greatest(F.ceil(F.size(items) / STEP) - 1, F.lit(0)).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * STEP + 1, F.lit(STEP)))
+
+    def each(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def some(acc: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(acc["state"].alias("state"), none_of(kind).alias("out")), each)
+        return F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+    return F.aggregate(steps, F.struct(zero.alias("state"), none_of(f"array<{kind}>").alias("out")), some, lambda acc: F.flatten(acc["out"]))
+
+
+def in_blocks(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` code points, to cut from."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def cut(blocks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of a text in blocks; a substring of a long text would be counted off from its start."""
+    some = F.when(b > a, F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))).otherwise(none_of("int"))
+
+    def one(k: Column) -> Column:
+        start = F.greatest(a - k * BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, k), start + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - start)
+
+    return F.array_join(F.transform(some, one), "")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows: bounds what is built from one at a time."""
     for b in batches:

@@ -12,8 +12,13 @@ Index and literals are lower-cased, so candidates are a superset whatever the
 case a rule asks for. A document is addressed by id and hash of its text, so
 repeated ids and null ids do no harm.
 
+A text is lower-cased once and looked through for each trigram of the queries
+by one lambda over them, so its lower form is never made again.
+
 Spans are in code points, end exclusive. Positions come from ``split`` and
 ``regexp_extract_all``: the pieces between matches and the matches alternate.
+Folds over matches go in steps, and texts are cut from blocks, so a text with very
+many matches takes time in proportion.
 
 Defined results: a null text is empty and has no spans; a null id is kept;
 repeated rows have the same spans each; an empty table has no rows. All columns
@@ -30,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import is_small, materialize, text_or_empty
+from gristmill.llm.common import cut, fold, in_blocks, is_small, materialize, none_of, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -141,9 +146,9 @@ def _holds(q: Query, own: Column) -> Column:
 def postings(docs: DataFrame, grams: list[str], id_col: str, text_col: str) -> DataFrame:
     """The inverted index: (gram, id, h), h being the hash of the text."""
     text = text_or_empty(f"`{text_col}`")
-    low = F.lower(text)
-    own = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("h"), own.alias("own")).where("size(own) > 0").select(F.explode("own").alias("gram"), "id", "h")
+    listed = F.array(*map(F.lit, grams))
+    own = F.transform(F.array(F.lower(text)), lambda low: F.filter(listed, lambda g: F.contains(low, g)))[0]
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("h"), F.explode(own).alias("gram")).select("gram", "id", "h")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
@@ -162,17 +167,17 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     pattern = F.lit(rule.pattern)
     matches, between = F.regexp_extract_all(text, pattern, 0), F.split(text, rule.pattern, -1)
     measured = F.regexp_extract_all(text, pattern, rule.group) if rule.group else matches
-    each = F.arrays_zip(matches.alias("m"), between.alias("b"), measured.alias("g"))
+    lengths = lambda a: F.transform(a, lambda x: F.length(x))
+    each = F.arrays_zip(lengths(matches).alias("m"), lengths(between).alias("b"), lengths(measured).alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["b"])
-        end = at + F.coalesce(F.length(x["m"]), F.lit(0))
-        good = F.coalesce(F.length(x["g"]) >= rule.least, F.lit(False)) & x["m"].isNotNull()
-        one = F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["b"]
+        end = start + F.coalesce(x["m"], F.lit(0))
+        good = F.coalesce(x["g"] >= rule.least, F.lit(False)) & x["m"].isNotNull()
+        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
+        return end, F.when(good, one).otherwise(none_of(_SPAN))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(each, zero, step, lambda acc: acc["out"])
+    return fold(each, F.lit(0), step, _SPAN)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,11 +188,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     own = [c for c in docs.columns if c != "spans"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), text.alias("_text"), F.col(f"`{id_col}`").cast("long").alias("_doc"))
     rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_h")), "left")
-    none = F.array().cast(f"array<{_SPAN}>")
     parts = []
     for rank, rule in enumerate(rules):
         go = F.array_contains("_kinds", rule.kind) if trigram_query(rule.pattern) is not None else F.col("_text").rlike(rule.pattern)
-        parts.append(F.when(go, _spans(F.col("_text"), rule, rank)).otherwise(none))
+        parts.append(F.when(go, _spans(F.col("_text"), rule, rank)).otherwise(none_of(_SPAN)))
     return rows.select("_row.*", F.sort_array(F.concat(*parts)).alias("spans"))
 
 
@@ -201,13 +205,14 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by [kind]."""
+    """The text with each span, or run of overlapping spans, replaced by [kind] of its first one. Spans come by start."""
+    kept = fold(spans, F.lit(0), lambda at, s: (F.greatest(at, s["end"]), F.array(F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))), "struct<at:int,start:int,kind:string>")
+    # at: where the spans before end. One that starts before is part of their run.
+    kept = F.filter(kept, lambda k: k["start"] >= k["at"])
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def done(blocks: Column) -> Column:
+        parts = F.transform(kept, lambda k: F.concat(cut(blocks, k["at"], k["start"]), F.lit("["), k["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(blocks, last, F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, F.transform(F.array(in_blocks(text)), done)[0]).otherwise(text)
