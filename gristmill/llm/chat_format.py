@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm.common import cut, fold, in_blocks, none_of
+
 BLOCK = 256
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 MARKS = r"<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>"
@@ -103,9 +105,12 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return own + [p for f, name in zip(kind, own, strict=True) for p in schema_paths(f.dataType, name)]
 
 
-def layout_of(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout of a table: that whose fingerprint the known paths have, or else the one with most paths, all there."""
-    known = {p for x in layouts for p in x.paths} & set(schema_paths(df.schema))
+def layout_of(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, id_col: str = "conv_id") -> Layout:
+    """The layout of a table: that whose fingerprint the known paths have, or else the one with most paths, all there.
+
+    The column of ids counts as conv_id, whatever its name.
+    """
+    known = {p for x in layouts for p in x.paths} & {"conv_id" if p == id_col else p for p in schema_paths(df.schema)}
     by_print = {fingerprint(x.paths): x for x in layouts}
     if found := by_print.get(fingerprint(known)):
         return found
@@ -127,11 +132,11 @@ def _canonical(turns: Column, roles: dict[str, str] = ROLES) -> Column:
 
 def canonical(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(id, layout, turns) of a table of one layout."""
-    layout = layout_of(df, layouts)
+    layout = layout_of(df, layouts, id_col)
     if layout.name != "turn_rows":
         return df.select(F.col(f"`{id_col}`").alias("id"), F.lit(layout.name).alias("layout"), _canonical(F.expr(layout.turns)).alias("turns"))
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
-    rows = df.select(F.col("conv_id").alias("id"), F.floor(F.col("turn") / BLOCK).alias("block"), F.struct(F.col("turn"), role, text).alias("one"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.floor(F.col("turn") / BLOCK).alias("block"), F.struct(F.col("turn"), role, text).alias("one"))
     blocks = rows.groupBy("id", "block").agg(F.sort_array(F.collect_list("one")).alias("own"))
     whole = blocks.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "own"))), lambda b: b["own"])).alias("turns"))
     # Roles of rows are canonical as they are.
@@ -173,12 +178,18 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """From formatted and mask alone: (id, turns as array of (role, text), loss_text)."""
+    """From formatted and mask alone: (id, turns as array of (role, text), loss_text).
+
+    The text under the loss mask is cut out where the mask's runs say.
+    """
     parts = F.split("formatted", MARKS, -1)
     rows = formatted.select("id", "formatted", "mask", F.when(F.col("formatted") == "", F.array().cast("array<string>")).otherwise(parts).alias("_parts"))
     n = F.floor(F.size("_parts") / 3).cast("int")
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    # Pieces 3k + 1 and 3k + 2 are role and text; runs come three a turn as well, the text's in the middle.
-    turn = lambda k: F.struct(unescape(F.get("_parts", k * 3 + 1)).alias("role"), unescape(F.get("_parts", k * 3 + 2)).alias("text"), (F.get("mask", k * 3 + 1)["loss"] & (F.get("mask", k * 3 + 1)["chars"] == F.length(F.get("_parts", k * 3 + 2)))).alias("loss"))
-    rows = rows.select("id", "formatted", F.transform(numbers, turn).alias("turns"))
-    return rows.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), ""))
+    # Pieces 3k + 1 and 3k + 2 are role and text.
+    turn = lambda k: F.struct(unescape(F.get("_parts", k * 3 + 1)).alias("role"), unescape(F.get("_parts", k * 3 + 2)).alias("text"))
+    kind = "struct<a:int,b:int>"
+    step = lambda at, m: (at + m["chars"], F.when(m["loss"], F.array(F.struct(at.alias("a"), (at + m["chars"]).alias("b")))).otherwise(none_of(kind)))
+    runs = fold(F.col("mask"), F.lit(0), step, kind)
+    loss = F.transform(F.array(in_blocks(F.col("formatted"))), lambda blocks: F.array_join(F.transform(runs, lambda r: unescape(cut(blocks, r["a"], r["b"]))), ""))[0]
+    return rows.select("id", "formatted", F.transform(numbers, turn).alias("turns"), loss.alias("loss_text"))
