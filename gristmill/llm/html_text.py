@@ -2,13 +2,23 @@
 
 A forgiving tree builder closes what HTML lets one leave open (a paragraph before
 a block, a list item before the next, table rows and cells, the head), drops end tags that
-match nothing and closes what is open inside an element that ends. Not shown are
-the head, scripts, styles and the like, elements with ``hidden`` and those that
-inline styles hide. Formulas, the text of drawings and all options of a choice are
-shown, but not their annotations, descriptions and definitions. Then each block is rendered to lines: white space collapses
-outside ``pre``, paragraphs, headings, lists and tables stand apart by an empty
-line, list items have their mark and hang from it, and table cells are padded to
-the width of their column.
+match nothing and closes what is open inside an element that ends. Tags are found
+by a scan that passes over each character a few times at most: where a quote or a
+tag is never closed, that is remembered and not looked for again.
+
+Not shown are the head, scripts, styles and the like, elements with ``hidden``,
+what the page's own styles or inline styles hide, what a closed ``details`` holds
+besides its summary, and dialogs that aren't open. Of styles, rules for a tag, id,
+classes or these together count, the more specific first; ``visibility`` goes down
+to what is inside and can be taken back there, ``display: none`` can't. Rules
+inside ``@`` blocks other than ``@media`` for screens, and selectors with more than
+one element, are passed over. Formulas, the text of drawings and all options of a
+choice are shown, but not their annotations, descriptions and definitions.
+
+Then each block is rendered to lines: white space collapses outside ``pre``,
+paragraphs, headings, lists and tables stand apart by an empty line, list items
+have their mark and hang from it, and table cells are padded to the width of their
+column.
 
 Defined results: a null or empty page has empty text; text without tags is one
 paragraph. Elements nested deeper than ``DEEPEST`` are taken as part of the
@@ -63,9 +73,9 @@ IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript
 #: An end tag doesn't reach across these.
 FENCE = frozenset({"table", "td", "th"})
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _BREAK = "\x00"
 
@@ -77,25 +87,161 @@ class Node:
         self.tag, self.attributes, self.children, self.drawn = tag, attributes, [], True
 
     def attribute(self, name: str) -> str | None:
+        if name not in self.attributes.lower():
+            return None
         for k, v in _ATTRIBUTE.findall(self.attributes):
             if k.lower() == name:
                 return html.unescape(v.strip("\"'"))
         return None
 
-    @property
-    def seen(self) -> bool:
-        if self.tag in UNSEEN or not self.drawn:
-            return False
-        if not self.attributes or self.attributes.isspace():
-            return True
-        low = self.attributes.lower()
-        return not ("hidden" in low and (self.attribute("hidden") is not None)) and not ("style" in low and _HIDDEN.search(self.attribute("style") or ""))
 
+class _Tags:
+    """(start, end, name, attributes, whether it is an end tag) of each tag of a page; comments and the like have no name."""
+
+    def __init__(self, page: str):
+        self._page, self._closed, self._quoted = page, True, {'"': True, "'": True}
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        page = self._page
+        while self._closed and (start := page.find("<", at)) >= 0:
+            after = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", "", False
+            if after and after in "!?":
+                end = page.find(">", start)
+                if end >= 0:
+                    return start, end + 1, "", "", False
+                self._closed = False
+            elif m := _NAME.match(page, start + 1 + (after == "/")):
+                end = page.find(">", m.end()) if after == "/" else self._end(m.end())
+                if end >= 0:
+                    return start, end + 1, m[0].lower(), page[m.end() : end], after == "/"
+                self._closed = False
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a start tag, outside quoted values; -1 if the page has none."""
+        page, begin, first = self._page, at, at
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if self._quoted[m[0]] and page[first : m.start()].rstrip().endswith("="):
+                end = page.find(m[0], at)
+                if end < 0:
+                    self._quoted[m[0]] = False  # from here on such a quote is an ordinary character
+                else:
+                    at = first = end + 1
+            else:
+                first = at
+        if any(self._quoted.values()):  # the page's last > stands in quotes, so quotes aren't to be trusted
+            self._quoted = dict.fromkeys(self._quoted, False)
+            return page.find(">", begin)
+        return -1
+
+
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_SHOWN = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 
-def parse(page: str) -> Node:
+
+class Styles:
+    """What a page's own styles say of display and visibility."""
+
+    def __init__(self, text: str):
+        self._by: dict[str, list[tuple[tuple, str, frozenset, dict]]] = {}
+        for n, (selectors, body) in enumerate(self._rules(re.sub(r"/\*.*?(?:\*/|\Z)", "", text, flags=re.S))):
+            if not (own := self._declared(body)):
+                continue
+            for selector in selectors.split(","):
+                m = _SELECTOR.fullmatch(selector.strip())
+                if not m or not m[0]:
+                    continue
+                tag, parts = ("" if m[1] in (None, "*") else m[1].lower()), frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                rank = sum(x[0] == "#" for x in parts), sum(x[0] == "." for x in parts), bool(tag), n
+                key = max(parts) if parts else tag or "*"
+                self._by.setdefault(key, []).append((rank, tag, parts, own))
+
+    @staticmethod
+    def _rules(text: str) -> list[tuple[str, str]]:
+        """Rules outside of @ blocks, and those inside @media for all or screens."""
+        out, at = [], 0
+        open_: list[tuple[str, int, bool]] = []  # selector or @ rule, where its body begins, whether it is passed over
+        for m in re.finditer(r"[{}]", text):
+            if m[0] == "{":
+                head = text[at : m.start()].rpartition(";")[2].strip()
+                media = re.fullmatch(r"@media\s+(?:only\s+)?(?:all|screen)", head, re.I)
+                open_.append((head, m.end(), (bool(open_) and open_[-1][2]) or (head.startswith("@") and not media)))
+            elif open_:
+                head, begin, passed = open_.pop()
+                if begin == at and not passed:
+                    out.append((head, text[begin : m.start()]))
+            at = m.end()
+        return out
+
+    @staticmethod
+    def _declared(text: str) -> dict[str, tuple[str, bool]]:
+        out: dict[str, tuple[str, bool]] = {}
+        for name, value, important in _SHOWN.findall(text):
+            name = name.lower()
+            if important or name not in out or not out[name][1]:
+                out[name] = value.lower(), bool(important)
+        return out
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility of an element, as far as anything says them."""
+        found: list[tuple[tuple, dict]] = []
+        low = node.attributes.lower()
+        if "hidden" in low and node.attribute("hidden") is not None:
+            found.append(((-1,), {"display": ("none", False)}))
+        if self._by:
+            own = {f".{c}" for c in (node.attribute("class") or "").split()}
+            if name := node.attribute("id"):
+                own.add(f"#{name}")
+            for key in (*own, node.tag, "*"):
+                for rank, tag, parts, what in self._by.get(key, ()):
+                    if (not tag or tag == node.tag) and parts <= own:
+                        found.append((rank, what))
+        if "style" in low and (inline := self._declared(node.attribute("style") or "")):
+            found.append(((9**9,), inline))
+        out: dict[str, tuple] = {}
+        for rank, what in found:
+            for name, (value, important) in what.items():
+                out[name] = max(out.get(name, ((),)), ((important, rank), value))
+        return {name: x[1] for name, x in out.items()}
+
+
+NOTHING = Styles("")
+
+
+def shown(node: Node, styles: Styles, visible: bool = True) -> None:
+    """Takes out of the tree what isn't seen."""
+    children: list = node.children
+    if node.tag == "details" and node.attribute("open") is None:
+        children = [next((c for c in children if isinstance(c, Node) and c.tag == "summary"), "")]
+    kept: list = []
+    for c in children:
+        if isinstance(c, str):
+            kept += [c] if visible else []
+            continue
+        if c.tag in UNSEEN or not c.drawn or (c.tag == "dialog" and c.attribute("open") is None):
+            continue
+        said = styles.of(c) if c.attributes or styles is not NOTHING else {}
+        if said.get("display") == "none":
+            continue
+        own = {"hidden": False, "collapse": False, "visible": True}.get(said.get("visibility"), visible)
+        shown(c, styles, own)
+        if own or c.children or c.tag in ("td", "th"):
+            kept.append(c)
+    node.children = kept
+
+
+def parse(page: str) -> tuple[Node, Styles]:
+    """The tree of a page, and its styles."""
     root = Node("html")
-    stack = [root]
-    at, size = 0, len(page)
+    stack, styles = [root], []
+    at, size, tags = 0, len(page), _Tags(page)
 
     def close(tags: frozenset[str], bound: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -114,15 +260,15 @@ def parse(page: str) -> Node:
         stack[-1].children.append(html.unescape(s))
 
     while at < size:
-        m = _TAG.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+        start, end, tag, attributes, ends = found
+        if start > at:
+            text(page[at:start])
+        at = end
+        if ends:
             if tag == "br":
                 if stack[-1].tag == "head":
                     stack.pop()
@@ -133,9 +279,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in FENCE and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
                     break
-        elif m[2]:
-            tag = m[2].lower()
-            if tag in ("html", "body") and tag == "html":
+        elif tag:
+            if tag == "html":
                 continue
             if stack[-1].tag == "head" and tag not in IN_HEAD:
                 if tag == "head":
@@ -145,21 +290,21 @@ def parse(page: str) -> Node:
                 close(frozenset({"p"}), frozenset({"table", "td", "th", "button"}))
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
-            node = Node(tag, m[3])
+            node = Node(tag, attributes)
             foreign = next((n.tag for n in reversed(stack) if n.tag in FOREIGN), None)
             node.drawn = foreign is None or tag not in FOREIGN[foreign]
             stack[-1].children.append(node)
-            if tag in RAW and not (foreign and m[3].rstrip().endswith("/")):
-                end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
-                stop = end.start() if end else size
+            if tag in RAW and not (foreign and attributes.rstrip().endswith("/")):
+                last = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
+                stop = last.start() if last else size
+                if tag == "style":
+                    styles.append(page[at:stop])
                 if tag in ("textarea", "xmp") and stop > at:
                     node.children.append(html.unescape(page[at:stop]) if tag == "textarea" else page[at:stop])
-                at = stop if end else size
-                if end:
-                    at = page.find(">", stop) + 1 or size
-            elif tag not in VOID and not m[3].rstrip().endswith("/") | (len(stack) >= DEEPEST):
+                at = page.find(">", stop) + 1 or size if last else size
+            elif tag not in VOID and not attributes.rstrip().endswith("/") | (len(stack) >= DEEPEST):
                 stack.append(node)
-    return root
+    return root, Styles("\n".join(styles)) if styles else NOTHING
 
 
 class _Lines:
@@ -208,8 +353,6 @@ def _render(node: Node) -> list[str]:
                 out.text(c)
             elif c.tag == "br":
                 out.text(_BREAK)
-            elif not c.seen:
-                continue
             elif c.tag in BLOCK:
                 out.flush()
                 if c.tag in APART and not (c.tag in ("ul", "ol", "menu") and node.tag == "li"):
@@ -244,7 +387,7 @@ def _render(node: Node) -> list[str]:
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) if c.seen else "" for c in node.children)
+    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) for c in node.children)
 
 
 def _table(table: Node) -> list[str]:
@@ -255,13 +398,11 @@ def _table(table: Node) -> list[str]:
             if isinstance(c, str):
                 if c.strip():
                     other.append(c.strip())
-            elif not c.seen:
-                continue
             elif c.tag in ("thead", "tbody", "tfoot"):
                 gather(c)
             elif c.tag == "tr":
-                rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and x.seen])
-                other.extend(t for x in c.children for t in ([x.strip()] if isinstance(x, str) else _render(x) if x.tag not in ("td", "th") and x.seen else []) if t)
+                rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")])
+                other.extend(t for x in c.children for t in ([x.strip()] if isinstance(x, str) else _render(x) if x.tag not in ("td", "th") else []) if t)
             elif c.tag in ("td", "th"):
                 rows.append([c])
             else:
@@ -305,14 +446,16 @@ def _table(table: Node) -> list[str]:
 def visible_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(_render(parse(page.replace("\r\n", "\n").replace(_BREAK, "")))).strip("\n")
+    root, styles = parse(page.replace("\r\n", "\n").replace(_BREAK, ""))
+    shown(root, styles)
+    return "\n".join(_render(root)).strip("\n")
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text, laid out. A map over the rows: no shuffle."""
 
     @F.arrow_udf("string")
-    def shown(column: pa.Array) -> pa.Array:
+    def rendered(column: pa.Array) -> pa.Array:
         return pa.array([visible_text(x.as_py()) for x in column], pa.string())
 
-    return pages.withColumn("text", shown(F.col(f"`{html_col}`").cast("string")))
+    return pages.withColumn("text", rendered(F.col(f"`{html_col}`").cast("string")))
