@@ -8,15 +8,18 @@ the score are penalised. So a group's name alone neither raises nor lowers a
 score, whatever the labelled rows happen to say next to it.
 
 The fit reads a bounded sample: at most ``MOST_LABELLED`` labelled rows, those of
-least hash of their id among the rows to learn from (spread over all of them).
+least hash of their id among the rows to learn from (spread over all of them), and
+one text of each id, that of least hash, however many rows repeat the id.
 Features come from that sample by a likelihood-ratio test, those significant, and
 of these the ``FEATURES`` with the highest ratio. The model is thus of bounded size and goes to the workers; every
 whole text is scored in one pass without a shuffle.
 
 Defined results: a null or empty text has the score of a text without features.
 A null label is not learned from; of several labels of an id the highest counts.
-Without labelled rows all scores are 0. Repeated rows get their score each. The
-result has the rows of the table, null ids included.
+With labels of one class only, all scores are the share of toxic rows, one of each
+added; without labelled rows they are 0. Repeated rows get their score each. The
+result has the rows of the table, null ids included. Identity terms are those of
+English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -57,8 +60,23 @@ IDENTITY = (
     ("disabled", "blind", "deaf", "autistic"),
     ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners"),
     ("old", "young", "elderly"),
+    ("muslime", "juden", "christen", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("schwule", "lesben", "bisexuelle", "transgender"),
+    ("deutsche", "türken", "polen", "russen", "franzosen", "amerikaner", "chinesen"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("musulmans", "juifs", "chrétiens", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("gays", "lesbiennes", "bisexuels", "transgenres"),
+    ("allemands", "turcs", "polonais", "russes", "français", "américains", "chinois"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("musulmanes", "judíos", "cristianos", "hindúes", "budistas", "ateos", "católicos"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("homosexuales", "lesbianas", "bisexuales", "transgénero"),
+    ("alemanes", "turcos", "polacos", "rusos", "franceses", "americanos", "chinos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
-_GROUP = {t: g for g in IDENTITY for t in g}
+_GROUP = {t: g for g in reversed(IDENTITY) for t in g}
 
 
 def word_features(word: str) -> list[str]:
@@ -177,11 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     """docs: doc_id, text. labels: doc_id, toxic; only rows to learn from."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` rows of 12 bytes
-    sample = materialize(docs.join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("h").alias("h"))
+    sample = texts.join(F.broadcast(one), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = materialize(sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
     n = dict(sample.groupBy("toxic").count().collect())
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        return None
+        return Model(float(np.log((n1 + 1) / (n0 + 1))), {}) if n0 or n1 else None
     counts = sample.mapInArrow(_count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     part = lambda a, total: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / ((F.col("n0") + F.col("n1")) * total / (n0 + n1)))).otherwise(0.0)
     ratio = part("n0", n0) + part("n1", n1)
