@@ -53,6 +53,8 @@ WINDOW, LITERALS = 8, 5
 RUN, SHARE = 6, 0.5
 DRIFT = 4
 MOST_HASHES = 2_000_000
+#: Item windows (about 150 bytes each) up to which they are broadcast to those of the documents.
+MOST_BROADCAST = 200_000
 CACHE = 200_000
 
 # Units that may follow a number.
@@ -81,12 +83,20 @@ class _Tokens(dict):
     def __init__(self):
         self._reset()
 
-    def _reset(self) -> None:
+    def _reset(self, size: int = CACHE) -> None:
         self.clear()
-        self.hash, self.kind, self.capital, self.ends = np.zeros(CACHE, np.uint64), np.zeros(CACHE, np.int8), np.zeros(CACHE, bool), np.zeros(CACHE, bool)
+        self.hash, self.kind, self.capital, self.ends = np.zeros(size, np.uint64), np.zeros(size, np.int8), np.zeros(size, bool), np.zeros(size, bool)
+        self._put = memoryview(self.hash), memoryview(self.kind)  # quicker to write one by one
 
     def __missing__(self, raw: str) -> int:
         k = len(self)
+        if raw.isalpha():  # nothing to take off, and no digits
+            low = raw if raw.isascii() and raw.islower() else raw.casefold()
+            self._put[0][k], self._put[1][k] = xxhash.xxh3_64_intdigest(low), NUMBER if low in NUMBERS else UNIT if low in UNITS else WORD
+            if low is not raw and raw[:1].isupper() and raw[1:2].islower():
+                self.capital[k] = True
+            self[raw] = k
+            return k
         bare = raw.strip(".,;:!?\"'()[]{}<>|*_`«»“”‘’…")
         low = bare.casefold()
         kind = WORD if low else SKIP
@@ -103,9 +113,7 @@ class _Tokens(dict):
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) + len(words) > CACHE:
-            self._reset()
-            if len(words) > CACHE:  # a text of more words than are remembered
-                self.hash, self.kind, self.capital, self.ends = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int8), np.zeros(len(words), bool), np.zeros(len(words), bool)
+            self._reset(max(CACHE, len(words)))  # a text may have more words than are remembered
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -297,7 +305,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes.collect()], np.int64)))
         if not len(known.value):
             docs = docs.where("false")
-    found = _windowed(docs, known, sizes).select("id", "digest", "h", "pos", "place", "vals").join(items, "h").drop("h")
+    found = _windowed(docs, known, sizes).select("id", "digest", "h", "pos", "place", "vals")
+    found = found.join(F.broadcast(items) if is_small(items, MOST_BROADCAST) else items, "h").drop("h")
     keys = ["id", "digest", "item_id", "item_digest"]
     hits = found.repartition(*keys).distinct().groupBy(*keys).applyInArrow(
         _best, "id long, item_id long, coverage double, stream int, n_changed long, left int, n_windows long, item_windows long, n_slots long"
