@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -68,7 +69,7 @@ def brute_components(rows):
 
     for a in own:
         for b in own:
-            if a < b and own[a] and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+            if a < b and own[a] and 3 * len(own[a]) <= 4 * len(own[b]) and 3 * len(own[b]) <= 4 * len(own[a]) and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
     return {i: (len(own[i]), top(i)) for i in own}
@@ -87,12 +88,45 @@ def test_near_duplicates(spark, corpus):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def group_of_copies(n, seed, edits):
+    """Copies of one text, with so many words at random places replaced that some are linked and some are just short of it."""
+    r = random.Random(seed)
+    base = words(120, seed)
+    out = []
+    for i in range(n):
+        own = base[:]
+        for k in r.sample(range(120), r.randrange(edits)):
+            own[k] = f"{seed}x{i}y{k}"
+        out.append(" ".join(own))
+    return out
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """A bucket larger than a block is whole."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    base = words(150, 3)
-    rows = [(i, " ".join(base[:-1] + [f"z{i}"])) for i in range(40)]
-    assert {r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == {0}
+    """Buckets larger than a block, of one component and of several, give what brute force gives."""
+    rows = list(enumerate(group_of_copies(60, 3, 9) + group_of_copies(30, 4, 4) + [" ".join(words(50, 60 + i)) for i in range(10)]))
+    want = brute_components(rows)
+    assert 2 < len({c for _, c in want.values()}) < 60
+    for block in (near_dedup.BLOCK, 4):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+        assert got == want
+
+
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    """Rows of one id are one document, linked with what each of its texts is linked with."""
+    a, b = words(100, 21), words(100, 22)
+    near = lambda own, k: " ".join([*own[:-1], f"z{k}"])
+    rows = [(5, " ".join(b)), (5, " ".join(a)), (6, near(a, 1)), (7, near(b, 2)), (8, " ".join(a)), (3, " ".join(words(90, 23))), (9, " ".join(words(90, 23))), (9, near(a, 3))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(i, 3) for i in (3, 5, 6, 7, 8, 9)}
+
+
+def test_near_duplicates_recall_on_the_table(spark):
+    """Each component of the whole table is that of brute force."""
+    table = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    want = brute_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table).collect()} == want
 
 
 def test_components(spark):
@@ -111,17 +145,50 @@ def test_signature_estimates_similarity():
 # 3 and 8 ---------------------------------------------------------------------------------------------------------
 
 
-def library(text, end):
+def library(text, end, name="word_bpe_49k.json"):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary())
+    t = Tokenizer.from_file(vocabulary(name))
     t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
-def test_encoder_equals_library():
-    for text in ("Hello, WORLD. it's 12ab\tç̧ Σας\x1cx\x85y z 'll don't <|endoftext|> ÀÉß, a.b.c ...", "a" * 5000, "", None, "\n\n  x "):
-        assert encoder(vocabulary()).encode(text) == np.array(library(text, 0)[:-1], "<u4").tobytes()
+STRANGE = ["Hello, WORLD. it's 12ab\tç̧ Σας\x1cx\x85y z 'll don't <|endoftext|> ÀÉß, a.b.c ...", "a" * 5000, "", None, "\n\n  x ", "That*** it.&&& IT.'*** él, 日本 ''s ok' x__ \u2028y"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library(name, monkeypatch):
+    """Ids are the library's for every vocabulary that it reads, also when words are forgotten and learned again."""
+    from gristmill.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1_000)
+    for width in (None, 4):
+        e = tokens.Encoder(vocabulary(name), width)
+        for _ in range(2):
+            for text, own in zip(STRANGE, e.encode_all(STRANGE), strict=True):
+                assert bytes(e.wide(own)) == np.array(library(text, 0, name)[:-1], "<u4").tobytes()
+                assert e.encode(text) == own
+    assert tokens.Encoder(vocabulary(name)).width == 2
+    with pytest.raises(ValueError, match="fit"):
+        tokens.Encoder(vocabulary(name), 1)
+
+
+def test_encoder_on_the_table():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    for text, own in zip(texts, encoder(vocabulary(), 4).encode_all(texts), strict=True):
+        assert own == np.array(library(text, 0)[:-1], "<u4").tobytes()
+
+
+def test_token_store_of_a_hot_id(spark, tmp_path):
+    """Rows of one id are spread over files, and another vocabulary is stored as well."""
+    rows = [(None, f"text {k}") for k in range(400)] + [(1, "same")] * 400
+    manifest, dictionary = token_store.write_tokens(docs(spark, rows).repartition(4), f"file://{tmp_path}/t", tokenizer=vocabulary("byte_bpe_50k.json"))
+    got = token_store.read_tokens(manifest, dictionary).orderBy("start").collect()
+    want = Counter((i, zlib.crc32(np.array(library(t, 1, "byte_bpe_50k.json"), "<u4").tobytes())) for i, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
 
 
 def test_pack(spark, corpus):
@@ -191,13 +258,36 @@ def test_shards(spark, corpus):
     assert sharding.shard(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [sharding.PART_BYTES, 3_000])
+def test_shards_of_repeated_rows(spark, part_bytes):
+    """A row that is there very often, with one id or none, is cut by its place; with few shards and many, with parts and without."""
+    rows = [(7, "same row")] * 3000 + [(None, "no id")] * 500 + [(i, f"text {i}") for i in range(200)] + [(1, None)]
+    for shards in (1, 7):
+        got = sharding.shard(docs(spark, rows), shards=shards, part_bytes=part_bytes).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+        load, slots = Counter(), {}
+        for r in got:
+            load[r["shard"]] += len((r["text"] or "").encode()) + 16
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert len(load) == shards and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert max(load.values()) - min(load.values()) <= 60
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
-def brute_spans(text, rules):
+CONTRACT = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+)
+
+
+def brute_spans(text, rules=None):
+    """The contract's three rules as the test writes them, and the library's others."""
     out = []
-    for k, rule in enumerate(rules):
-        out += [(m.start(), k, m.end(), rule.kind) for m in re.finditer(rule.pattern, text or "", re.A) if len(m[rule.group]) >= rule.least]
+    for k, (kind, pattern, group, least) in enumerate([*CONTRACT, *((r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES[3:])]):
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text or "", re.A) if len(m[group]) >= least]
     return sorted(out)
 
 
@@ -205,24 +295,40 @@ SECRETS = [
     "password=hunter22 token: 'abcdef' Api_Key = \"zzzzzzz\" secret: token = abcdefgh apikey:short PASSWD='x_y.z-1'",
     "é AKIA" + "A1" * 8 + " AKIA123 " + "deadbeef" * 3 + " " + "deadbeef" * 2,
     "ghp_" + "a1" * 18 + " sk_live_" + "b2" * 10 + " -----BEGIN RSA PRIVATE KEY----- xoxb-1234567890-z",
-    "token=token=abcdefgh pass word", "", None, "plain text", "𝔘𝔫 password=𝔘 secret = aaaaaa" + "f" * 30,
+    "token=token=abcdefgh pass word", "PASSWORD=\u212aabcdef passWORD=abcdefg to\u212aen=abcdefgh", "", None, "plain text", "𝔘𝔫 password=𝔘 secret = aaaaaa" + "f" * 30,
 ]
 
 
 def test_secrets(spark):
     rows = [*enumerate(SECRETS), (0, SECRETS[0]), (None, SECRETS[1])]
     for r in secret_scan.scan(docs(spark, rows)).collect():
-        assert [tuple(s) for s in r["spans"]] == brute_spans(r["text"], secret_scan.RULES)
+        assert [tuple(s) for s in r["spans"]] == brute_spans(r["text"])
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Very many matches, overlapping ones and code points beyond 16 bits, over several blocks and steps."""
+    parts = [f"𝔘 word{k} password=pw{k:06d} AKIA{k:020d} {'𝔘é' * (k % 50)} token={'0123456789abcdef' * 2}" for k in range(3000)]
+    text = " ".join(parts)
+    found = secret_scan.scan(docs(spark, [(1, text), (2, "x" * 2_000_000)])).select("doc_id", "spans", secret_scan.redact(F.col("text"), F.col("spans")).alias("red"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    want = brute_spans(text)
+    assert [tuple(s) for s in got[1]["spans"]] == want and len(want) > 9000 and got[2]["red"] == "x" * 2_000_000
+    out, at = [], 0
+    for start, _, end, kind in want:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    assert got[1]["red"] == "".join(out) + text[at:]
+
+
 def test_redact(spark):
     found = secret_scan.scan(docs(spark, enumerate(SECRETS))).select("text", "spans", secret_scan.redact(F.col("text"), F.col("spans")).alias("red"))
     for r in found.collect():
         if not r["spans"]:
             assert r["red"] == r["text"]
         else:
-            assert not brute_spans(r["red"], secret_scan.BASE[1:])
+            assert not [x for x in brute_spans(r["red"]) if x[3] in ("access", "hex")]
     assert secret_scan.redact.__doc__
 
 
@@ -262,6 +368,20 @@ def test_chat_round_trip(spark):
     assert chat_format.canonical(df.where("false")).count() == 0
 
 
+def test_chat_of_long_conversations_and_other_ids(spark):
+    """A conversation of very many turns and very long texts, with the id under another name and a clashing column; the mask tells where loss is."""
+    rows = [(7, t, "assistant" if t % 2 else "user", f"𝔘 {t} <|im_end|> " + "é\\" * (t % 40)) for t in range(3000)] + [(8, 0, "assistant", "x𝔘\n" * 200_000), (8, 0, "user", "")]
+    df = spark.createDataFrame([(*r, "z", "z") for r in rows], "thread long, turn long, role string, text string, mask string, blocks string")
+    made = chat_format.format_chat(chat_format.canonical(df, "thread"))
+    got = {r["id"]: r for r in chat_format.read_back(made).collect()}
+    for c in (7, 8):
+        own = [x for x in rows if x[0] == c]
+        assert got[c]["loss_text"] == "".join(x[3] for x in own if x[2] == "assistant")
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(x[2], x[3]) for x in sorted(own)]
+    off = made.withColumn("mask", F.transform("mask", lambda m: F.struct(m["chars"], (~m["loss"]).alias("loss"))))
+    assert chat_format.read_back(off).where("id = 8").first()["loss_text"].startswith("<|im_start|>")
+
+
 def test_chat_records(spark):
     rows = [
         (1, '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"extra":{"x":1}}'),
@@ -299,6 +419,23 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs(spark, rows), items.where("false")).count() == 0
 
 
+def test_contaminated_against_brute_force(spark, folder, monkeypatch):
+    """On the whole tables, with a very long text and planted re-parameterised copies: all and only documents that hold an item; joins without a broadcast give the same."""
+    items = queries.table(spark, folder, "benchmark")
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").casefold())) + " "
+    wanted = {r["item_id"]: plain(r["text"]) for r in items.collect()}
+    rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, folder, "documents").select("doc_id", "text").collect()]
+    first = items.orderBy("item_id").first()["text"]
+    rows.append((900_000, " ".join(words(200_000, 9)) + " " + first))
+    want = {(i, k) for i, t in rows for k, own in wanted.items() if own in plain(t)}
+    df = docs(spark, rows)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).where("kind = 'exact' AND coverage = 1").collect()}
+    assert got == want and len(want) > 3
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "MOST_HASHES", 0)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).where("kind = 'exact' AND coverage = 1").collect()} == want
+
+
 def test_contaminated_items_without_template_windows(spark):
     """Short items and items dense with numbers and names are found verbatim."""
     dense = "Do Tom, Ann, Bob and Eve have 12, 15, 18 and 21 marbles?"
@@ -370,6 +507,41 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.classify(docs(spark, rows), table.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_of_odd_labels(spark, monkeypatch):
+    """One class only, ids that many rows repeat, empty tables, very long texts."""
+    rows = [(1, f"text {k}") for k in range(300)] + [(i, "vile " * 3 if i % 2 else "kind words") for i in range(2, 40)] + [(50, "vile " * 300_000), (51, None)]
+    table = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    all_toxic = toxicity.classify(docs(spark, rows), table.where("toxic = 1")).select("score").distinct().collect()
+    assert len(all_toxic) == 1 and all_toxic[0][0] > 0.9
+    seen = []
+    real = toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: seen.append(out := real(df, name)) or out)
+    got = toxicity.classify(docs(spark, rows), table, most=20).collect()
+    assert len(got) == len(rows) and seen[0].count() <= 20
+    assert toxicity.classify(docs(spark, []), table).count() == 0
+
+
+def test_fit_is_at_its_optimum():
+    """The fitted weights against plain gradient descent on the same objective, written out densely."""
+    r = np.random.default_rng(2)
+    x = (r.random((200, 6)) < 0.4).astype(float)
+    y = (x[:, 0] + r.random(200) > 0.9).astype(float)
+    d = np.zeros((200, 6))
+    d[:, 1] = 1
+    own = [np.flatnonzero(row).tolist() for row in x]
+    b, w = toxicity.fit(y.astype(int).tolist(), own, [{1: 1}] * 200, 6)
+
+    def objective(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + toxicity.RIDGE * (w @ w) / 2 + toxicity.FAIRNESS * np.mean((d @ w) ** 2) / 2
+
+    v, c = np.zeros(6), 0.0
+    for _ in range(20_000):
+        g = 1 / (1 + np.exp(-(x @ v + c))) - y
+        v, c = v - 0.5 * (x.T @ g / 200 + toxicity.RIDGE * v + toxicity.FAIRNESS * d.T @ (d @ v) / 200), c - 0.5 * g.mean()
+    assert objective(w, b) <= objective(v, c) * 1.02 + 1e-3
+
+
 def test_fairness_penalty_lowers_identity_weights():
     own = [[0, 1]] * 30 + [[2]] * 70
     labels, swaps = [1] * 30 + [0] * 70, [{1: 1}] * 100
@@ -421,9 +593,86 @@ def test_html_formulas_drawings_choices(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>.x{display:none} #y , p.z {visibility:hidden}</style><p class='a x'>no<p id=y>no <b style='visibility:visible'>yes</b><p class=z>no<div class=z>seen</div>", "yes\n\nseen"),
+        ("<style>@import 'a'; @media print{.q{display:none}} @media screen{.s{display:none}} /* .c{display:none} */ .c{color:red}</style><p class=q>a<p class=s>no<p class=c>b", "a\n\nb"),
+        ("<style>p{display:none} .v{display:block}</style><p>no<p class=v>yes<p class=v hidden>shown by its class", "yes\n\nshown by its class"),
+        ("<details><summary>Sum</summary>no</details><details open><summary>S2</summary>yes</details><dialog>no</dialog><dialog open>d</dialog>", "Sum\nS2\nyes\nd"),
+        ("<table><tr><td style='visibility:hidden'>aa<td>b<tr><td>c<td>d</table>", "   b\nc  d"),
+        ("<a title='x > y'>t</a> a < b", "t a < b"), ("<b x='>'>u</b><b x='>v", "uv"),
+    ],
+)
+def test_html_styles_and_quotes(page, text):
+    assert html_text.visible_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a b ", '<a "', '<a x="', '<a x=">" ', "<!-- ", "<", "</a ", "<div>", "<li>", "<style>a{", "<style>.a{display:none}", "<b =\" "])
+def test_html_broken_pages_take_time_in_proportion(part):
+    import time
+
+    t = time.process_time()
+    html_text.visible_text(part * (300_000 // len(part)))
+    assert time.process_time() - t < 20
+
+
+class Plain(HTMLParser):
+    """Another reader of pages, by the standard library: the words outside of what is never shown."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.off = [], 0
+
+    def handle_starttag(self, tag, attributes):
+        names = dict(attributes)
+        if self.off or tag in ("head", "script", "style", "template", "noscript") or "hidden" in names or "none" in (names.get("style") or ""):
+            self.off += tag not in html_text.VOID
+
+    def handle_endtag(self, tag):
+        self.off -= bool(self.off)
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words += data.split()
+
+
+def test_html_words_equal_another_readers():
+    """On well-formed pages made at random, both readers see the same words in the same order, list marks aside."""
+    r = random.Random(3)
+
+    def make(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.choice(["text", "text", "p", "div", "span", "b", "ul", "table", "hidden", "script", "section"]) if depth else "text"
+            if kind == "text":
+                out.append(" ".join(r.choice(["w1", "a&amp;b", "caf&eacute;", "x &lt; y", "zz"]) for _ in range(r.randrange(1, 5))))
+            elif kind == "ul":
+                out.append("<ul>" + "".join(f"<li>{make(depth - 1)}</li>" for _ in range(2)) + "</ul>")
+            elif kind == "table":
+                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{r.randrange(99)}x</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>")
+            elif kind == "hidden":
+                out.append(f"<div {r.choice(['hidden', 'style=display:none'])}>{make(depth - 1)}</div>")
+            elif kind == "script":
+                out.append("<script>var no = '<p>';</script>")
+            else:
+                inner = make(0) if kind in ("p", "span", "b") else make(depth - 1)
+                out.append(f"<{kind} class='c'>{inner}</{kind}>")
+        return " ".join(out)
+
+    for _ in range(150):
+        page = f"<html><head><title>t</title></head><body>{make(3)}</body></html>"
+        other = Plain()
+        other.feed(page)
+        assert [w for w in html_text.visible_text(page).split() if w != "-"] == other.words
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (1, "<p>x", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract(df).select("page_id", "text").collect()) == [(1, "x"), (1, "x"), (2, "")]
+    assert html_text.extract(df.where("false")).count() == 0
+    long = spark.createDataFrame([(1, "<p>" + "word <b>x</b> " * 100_000)], "page_id long, html string")
+    assert len(html_text.extract(long).first()["text"]) == 699_999
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
@@ -453,24 +702,33 @@ def test_chroma_aligns(spark):
     assert best == -20
 
 
-def test_chroma_finds_what_brute_force_finds(spark, folder, monkeypatch):
-    """On the registered clips, every pair within BIT_ERROR at some offset, over more than one block."""
-    monkeypatch.setattr(chroma, "BLOCK", 1_500)
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet").limit(400).localCheckpoint()
-    got = {(m["query_class"], m["match_class"]): m for m in chroma.align(rows, "vec_id", "embedding", chroma.SHORT)[1].collect()}
-    prints = {}
-    for r in rows.collect():
-        p = chroma.fingerprint(np.array(r["embedding"] or [], float), chroma.SHORT)[0].view(np.int32)
-        if len(p):
-            prints.setdefault(p.tobytes(), (r["vec_id"], p))
-    asked = [(i, p) for i, p in prints.values() if i % chroma.QUERY_STEP == 0]
+def test_chroma_recall_against_brute_force(spark, folder, monkeypatch):
+    """Clips of the table with noisy and shifted copies, over several blocks: what is given meets the rule, and recall over all offsets is high."""
+    monkeypatch.setattr(chroma, "BLOCK", 3_000)
+    r = np.random.default_rng(5)
+    clips = [np.array(x["embedding"]) for x in spark.read.parquet(f"{folder}/embeddings.parquet").select("embedding").limit(150).collect()]
+    noisy = [x + r.normal(0, 0.02, len(x)) for x in clips]
+    shifted = [np.r_[x[1:], r.normal(0, 0.12, 1)] for x in clips[:50]]
+    samples = [*clips, *noisy, *shifted, *clips[:20]]
+    rows = spark.createDataFrame([(k, x.tolist(), "c") for k, x in enumerate(samples)], "vec_id long, samples array<double>, class_id string")
+    members, matches = chroma.align(rows, "vec_id", "samples", chroma.SHORT, query_step=5)
+    got = {(m["query_class"], m["match_class"]): m for m in matches.collect()}
+    of = dict(members.collect())
+    assert all(of[350 + k] == k for k in range(20))
+    prints = [chroma.fingerprint(x, chroma.SHORT)[0].view(np.int32) for x in samples[:350]]
     want = {}
-    for i, p in asked:
-        for j, other in prints.values():
-            if i != j and (e := min(chroma.bit_error(p, other, k) for k in range(-10, 11))) <= chroma.BIT_ERROR:
+    for i in range(0, 350, 5):
+        for j in range(350):
+            if i != j and (e := min(chroma.bit_error(prints[i], prints[j], k) for k in range(-3, 4))) <= chroma.BIT_ERROR:
                 want[i, j] = e
-    assert set(got) == set(want) and len(want) > 50
-    assert all(m["bit_error"] >= want[k] and m["bit_error"] == chroma.bit_error(*(next(p for i, p in prints.values() if i == x) for x in k), m["offset"]) for k, m in got.items())
+    own = {k: m for k, m in got.items() if k[0] % 5 == 0}
+    assert set(own) <= set(want) and len(own) >= 0.95 * len(want) and len(want) > 60
+    assert all(m["bit_error"] == chroma.bit_error(prints[k[0]], prints[k[1]], m["offset"]) >= want[k] for k, m in own.items())
+    assert sum((k, k + 150) in own for k in range(0, 150, 5)) >= 0.9 * 30
+    assert chroma.align(rows.where("false"), "vec_id", "samples", chroma.SHORT)[1].count() == 0
+    twice = rows.union(rows.where("vec_id < 10"))
+    again = chroma.align(twice, "vec_id", "samples", chroma.SHORT, query_step=5)
+    assert again[0].count() == 380 and sorted(again[1].collect()) == sorted(matches.collect())
 
 
 # all -------------------------------------------------------------------------------------------------------------

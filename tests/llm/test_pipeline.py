@@ -39,3 +39,20 @@ def test_empty_and_null_rows(spark, folder):
             df = corpus_pipeline.materialize(stage(spark, df, folder), "edge")
         assert df.count() == n
         assert corpus_pipeline.STAGES[-1][1](spark, df, folder).count() == n
+
+
+def test_rows_that_share_an_id_or_have_none(spark, folder):
+    """Distinct texts of one id stay, copies go, and rows without an id are compared and decontaminated by their text."""
+    item = max((r["text"] for r in table(spark, folder, "benchmark").collect()), key=len)
+    own = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    long = " ".join(f"long{i}" for i in range(40_000))
+    filler = " ".join(f"fill{i}" for i in range(4 * len(item.split())))
+    rows = [(1, own["a"]), (1, own["b"]), (1, own["a"]), (None, own["a"]), (None, own["c"]), (None, own["c"]), (2, f"{own['d']} {item}"), (None, f"{item} {filler}"), (3, long), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, folder, "documents").schema)
+    stages = dict(corpus_pipeline.STAGES)
+    once = corpus_pipeline.materialize(stages["near_dedup"](spark, df, folder), "once")
+    texts = lambda d: sorted((r["doc_id"] or 0, r["text"]) for r in d.collect())
+    assert texts(once) == sorted({(i or 0, t) for i, t in rows} - {(0, own["a"])})
+    clean = stages["decontamination"](spark, once, folder)
+    assert texts(clean) == sorted([(1, own["a"]), (1, own["b"]), (0, own["c"]), (3, long), (4, "")])
+    assert clean.columns == df.columns
