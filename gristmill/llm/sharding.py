@@ -175,8 +175,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     counted = dealt(sized.select(*KEY)).groupBy(*part).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1))
     counted = materialize(counted.select(*part, F.coalesce(before, F.lit(0)).alias("before")), "parts")
-    tasks = max(shards, -(-total // part_bytes))
-    rows = dealt(keyed.drop("size")).repartition(tasks, *part)
-    nth = F.row_number().over(Window.partitionBy(*part).orderBy(*KEY))
+    # A task a part; pieces of a text with very many copies go to the tasks next to its part's.
+    task = F.pmod(F.col("shard").cast("long") * split + F.col("part") + F.col("piece"), F.lit(shards * split)).cast("int")
+    rows = dealt(keyed.drop("size")).withColumn("task", task).repartitionById(shards * split, "task")
+    nth = F.row_number().over(Window.partitionBy("task", *part).orderBy(*KEY))
     rows = _joined(rows.withColumn("nth", nth), counted, part, "inner")
     return rows.select("row.*", "shard", (F.col("nth") - 1 + F.col("before")).cast("long").alias("slot"))
