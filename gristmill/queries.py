@@ -589,7 +589,7 @@ WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 100000)
   o_orderstatus = 'P')
 """,
 )
-_spark_sql("sql_scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM {orders})")
+_spark_sql("sql_scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM {orders})")
 _spark_sql(
     "sql_rollup",
     """
