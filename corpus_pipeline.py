@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
-from gristmill.llm.common import materialize, table
+from gristmill.llm.common import discard, is_small, materialize, table
 
 REJECT_FROM = 0.5
+#: Ids (8 bytes each) up to which they are broadcast to the rows.
+MOST_BROADCAST = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,22 +32,29 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc_id"), "text")
 
 
+def _without(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id isn't among these; few ids go to the rows, many meet them by shuffle."""
+    ids = materialize(ids.distinct(), "ids")
+    return named.join(F.broadcast(ids) if is_small(ids, MOST_BROADCAST) else ids, "doc_id", "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group. Of rows that repeat id and text one stays; other texts of a kept id stay."""
     named = _named(docs)
-    gone = near_dedup.near_duplicates(named).where("not kept").select("doc_id").distinct()
-    left = named.join(gone, "doc_id", "left_anti")
-    # Few ids have several rows; only those are compared by text.
+    left = _without(named, near_dedup.near_duplicates(named).where("not kept").select("doc_id"))
+    # Few ids have several rows, if any; only those are compared by text.
     several = materialize(left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
-    first = left.join(several, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("row").alias("row"))
-    return left.join(several, "doc_id", "left_anti").select("row").union(first.select("row")).select("row.*")
+    if several.isEmpty():
+        return left.select("row.*")
+    own = F.broadcast(several) if is_small(several, MOST_BROADCAST) else several
+    first = left.join(own, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("row").alias("row"))
+    return left.join(own, "doc_id", "left_anti").select("row").union(first.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
     named = _named(docs)
-    held = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return named.join(held, "doc_id", "left_anti").select("row.*")
+    return _without(named, decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select("doc_id")).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,6 +83,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
