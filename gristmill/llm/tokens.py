@@ -10,7 +10,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Bytes of words a worker remembers, in each of two generations.
-CACHE_BYTES = 30_000_000
+CACHE_BYTES = 45_000_000
 #: Characters that are encoded before the words' memory is looked at.
 STEP = 1_000_000
 #: Words the library's model takes as they are: Latin letters, and a run of ASCII marks behind them.
