@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 STEP = 256
 #: Code points of the blocks that texts are cut from.
 BLOCK = 4096
+#: In a worker: how the operator whose tasks it runs forgets what it remembers, by the operator's module.
+_AT_WORK: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,5 +121,36 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
+def trim() -> None:
+    """Gives back to the system what is free inside this process."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def turn_to(forget: Callable[[], None]) -> None:
+    """A worker remembers words for one operator at a time: what others remember goes when a task of this one begins."""
+    if forget.__module__ in _AT_WORK:
+        return
+    for other in _AT_WORK.values():
+        other()
+    _AT_WORK.clear()
+    _AT_WORK[forget.__module__] = forget
+    trim()
+
+
+def in_turn(forget: Callable[[], None], run):
+    """The task ``run`` of an operator that remembers what ``forget``, a function of its module, drops."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(forget)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)

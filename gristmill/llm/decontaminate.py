@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batch, is_small, materialize, picked, slices
+from gristmill.llm.common import batch, in_turn, is_small, materialize, picked, slices
 
 WINDOW, LITERALS = 8, 5
 RUN, SHARE = 6, 0.5
@@ -120,6 +120,11 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
+def forget() -> None:
+    """Drops the tokens that this worker remembers."""
+    _TOKENS._reset()
+
+
 def _slotted(own: np.ndarray, kind: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The tokens with neighbours of one kind of placeholder, within a sentence, as one."""
     slot = kind != WORD
@@ -234,7 +239,7 @@ def _emit(known, sizes):
 
 
 def _windowed(df: DataFrame, known=None, sizes: list[set[int]] | None = None) -> DataFrame:
-    return df.mapInArrow(_emit(known, sizes), "id long, digest long, stream int, size int, n int, h long, pos int, place int, vals array<long>")
+    return df.mapInArrow(in_turn(forget, _emit(known, sizes)), "id long, digest long, stream int, size int, n int, h long, pos int, place int, vals array<long>")
 
 
 _HITS = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("stream", pa.int32()), ("n_changed", pa.int64()), ("left", pa.int32()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("n_slots", pa.int64())])

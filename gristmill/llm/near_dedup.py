@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batch, discard, is_small, materialize, picked, slices
+from gristmill.llm.common import batch, discard, in_turn, is_small, materialize, picked, slices
 
 WORDS = 5
 BANDS, ROWS = 36, 4
@@ -98,6 +98,11 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def forget() -> None:
+    """Drops the hashes of words that this worker remembers."""
+    _HASHES.clear()
+
+
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX64[0])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX64[1])
@@ -400,12 +405,12 @@ def _star_links(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
     pairs = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     signs = {side: _side(nodes, side, size="n_shingles", sig="sig") for side in "ab"}
     pairs = pairs.join(signs["b"], "b").join(signs["a"], "a").select("a", "b", "size_a", "size_b", "sig_a", "sig_b")
-    pairs = materialize(pairs.mapInArrow(_screen_pairs, "a long, b long"), "pairs")
+    pairs = materialize(pairs.mapInArrow(in_turn(forget, _screen_pairs), "a long, b long"), "pairs")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = materialize(_texts(docs, nodes, ids), "texts")
     read = pairs.join(_side(texts, "b", text="text", doc="doc_id"), "b")
     read = read.join(_side(texts, "a", text="text", doc="doc_id").hint("merge"), "a")
-    return read.select("a", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    return read.select("a", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(in_turn(forget, _verify), "a long, b long")
 
 
 def _dealt(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -440,19 +445,19 @@ def _other_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, found: D
     """Links between the components that buckets hold parts of."""
     rows = materialize(_dealt(members, found), "cells")
     signs = ("n_shingles", "sig", "keys")
-    named = _with(rows, nodes.select("node", *signs), *signs).mapInArrow(_whole_cells(_involved), "key long, lo int, hi int, part int, node long")
+    named = _with(rows, nodes.select("node", *signs), *signs).mapInArrow(in_turn(forget, _whole_cells(_involved)), "key long, lo int, hi int, part int, node long")
     named = materialize(named, "involved")
     texts = _texts(docs, nodes, named.select("node").distinct())
-    sets = materialize(texts.select("node", "text").mapInArrow(_full_sets, "node long, set binary"), "sets")
+    sets = materialize(texts.select("node", "text").mapInArrow(in_turn(forget, _full_sets), "node long, set binary"), "sets")
     rows = rows.join(named, [*_CELL, "part", "node"], "left_semi")
-    links = _with(rows, nodes.select("node", *signs).join(sets, "node"), *signs, "set").mapInArrow(_whole_cells(_forest), "a long, b long")
+    links = _with(rows, nodes.select("node", *signs).join(sets, "node"), *signs, "set").mapInArrow(in_turn(forget, _whole_cells(_forest)), "a long, b long")
     return links.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. See the module's text."""
     docs = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, h long, n_shingles long, digest binary, sig binary, keys array<long>"), "signed")
+    signed = materialize(docs.mapInArrow(in_turn(forget, _sign), "doc_id long, h long, n_shingles long, digest binary, sig binary, keys array<long>"), "signed")
 
     sets = signed.where("doc_id is not null and n_shingles > 0")
     first = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("digest", "first.*")

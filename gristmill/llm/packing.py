@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batch, materialize, picked, slices
-from gristmill.llm.tokens import encoder, vocabulary
+from gristmill.llm.common import batch, in_turn, materialize, picked, slices
+from gristmill.llm.tokens import encoder, forget, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(docs.mapInArrow(_pieces(tokenizer or vocabulary(), capacity, end_id), f"{kinds}, part int, nth long"), "pieces")
+    pieces = materialize(docs.mapInArrow(in_turn(forget, _pieces(tokenizer or vocabulary(), capacity, end_id)), f"{kinds}, part int, nth long"), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     planned, _ = plan(histogram, capacity, rounds)
@@ -223,4 +223,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     before = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
     numbered = pieces.join(before, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("before"))
-    return numbered.mapInArrow(_place(shared), f"{kinds}, sequence_id long, offset long")
+    return numbered.mapInArrow(in_turn(forget, _place(shared)), f"{kinds}, sequence_id long, offset long")

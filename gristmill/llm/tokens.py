@@ -9,10 +9,14 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from gristmill.llm.common import turn_to
+
 #: Bytes of words a worker remembers, in each of two generations.
 CACHE_BYTES = 45_000_000
 #: Characters that are encoded before the words' memory is looked at.
 STEP = 1_000_000
+#: Words that the library is given at one time; what it returns of them takes about 1 kB each.
+LEARNED = 10_000
 #: Words the library's model takes as they are: Latin letters, and a run of ASCII marks behind them.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 # The normalizer and the pre-tokenizer for which a text's ids are those of its words.
@@ -125,10 +129,12 @@ class Encoder:
                 parts[low] = parts[mark] = None
             else:
                 other.append(w)
-        if new := [w for w in parts if w not in known]:
-            self._parts(new)
-        if other:
-            self._remember(other, [self._bytes(e.ids) for e in self._tokenizer.encode_batch_fast(other, add_special_tokens=False)])
+        new = [w for w in parts if w not in known]
+        for at in range(0, len(new), LEARNED):
+            self._parts(new[at : at + LEARNED])
+        for at in range(0, len(other), LEARNED):
+            some = other[at : at + LEARNED]
+            self._remember(some, [self._bytes(e.ids) for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)])
         self._remember(plain, [known[a] + known[b] for a, b in zip(letters, marks, strict=True)])
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
@@ -163,6 +169,12 @@ class Encoder:
 
 def encoder(path: str, width: int | None = None) -> Encoder:
     """One encoder a worker, vocabulary and width; without a width the least that fits."""
+    turn_to(forget)
     if (path, width or 0) not in _ENCODERS:
         _ENCODERS[path, width or 0] = Encoder(path, width)
     return _ENCODERS[path, width or 0]
+
+
+def forget() -> None:
+    """Drops this worker's encoders and their words."""
+    _ENCODERS.clear()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batch, materialize, picked, slices
+from gristmill.llm.common import batch, in_turn, materialize, picked, slices, turn_to
 
 MOST_LABELLED = 12_000
 FEATURES = 6_000
@@ -203,18 +203,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Model(float(np.log((n1 + 1) / (n0 + 1))), {}) if n0 or n1 else None
-    counts = sample.mapInArrow(_count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = sample.mapInArrow(in_turn(forget, _count), "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     part = lambda a, total: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / ((F.col("n0") + F.col("n1")) * total / (n0 + n1)))).otherwise(0.0)
     ratio = part("n0", n0) + part("n1", n1)
     best = counts.where(ratio >= LEAST_RATIO).orderBy(ratio.desc(), "feature").limit(FEATURES)
     names = sorted({r[0] for r in best.collect()} | {f for t in _GROUP for f in word_features(t)})
     number = {f: k for k, f in enumerate(names)}
-    rows = sample.mapInArrow(_encode(number), "toxic int, own array<int>, terms array<string>").collect()  # at most `most` rows
+    rows = sample.mapInArrow(in_turn(forget, _encode(number)), "toxic int, own array<int>, terms array<string>").collect()  # at most `most` rows
     swaps = [s for k, r in enumerate(rows) for s in counterfactuals(r["own"], r["terms"], number, k) if s]
     bias, w = fit([r["toxic"] for r in rows], [r["own"] for r in rows], swaps, len(names))
     return Model(bias, {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6})
 
 
+def forget() -> None:
+    """Nothing outlives a task: a scorer's words go with it."""
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs, with all its columns, and score (double); a column of that name is replaced."""
     if model is None:
@@ -225,6 +229,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         if 0 not in at:
+            turn_to(forget)
             at[0] = Scorer(shared.value)
         return pa.array([at[0].score(t.as_py()) for t in texts], pa.float64())
 

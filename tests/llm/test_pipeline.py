@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
 from gristmill.llm import packing
 from gristmill.llm.common import table
@@ -56,3 +58,40 @@ def test_rows_that_share_an_id_or_have_none(spark, folder):
     clean = stages["decontamination"](spark, once, folder)
     assert texts(clean) == sorted([(1, own["a"]), (1, own["b"]), (0, own["c"]), (3, long), (4, "")])
     assert clean.columns == df.columns
+
+
+def test_workers_remember_for_one_stage_at_a_time(spark, folder):
+    """Stages share workers; the words that one stage remembers are gone when the next one's tasks begin."""
+    docs = table(spark, folder, "documents").repartition(16)
+
+    def held(batches):
+        from gristmill.llm import decontaminate, near_dedup, tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([bool(near_dedup._HASHES) + bool(decontaminate._TOKENS) + bool(tokens._ENCODERS)], pa.int64())})
+
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.format("noop").mode("overwrite").save()
+        n = [r["n"] for r in docs.select("doc_id").mapInArrow(held, "n long").collect()]
+        assert max(n) <= 1, name
+
+
+def test_encoding_takes_words_in_pieces(monkeypatch):
+    """However few words the library is given at one time, ids are the same."""
+    from gristmill.llm import tokens
+
+    text = " ".join(f"Word{i} straße{i}, plain" + "abcdefghij"[i % 10] * (i % 7) + "! Éa" for i in range(300))
+    whole = tokens.Encoder(tokens.vocabulary()).encode(text)
+    own = tokens.Encoder(tokens.vocabulary())
+    given = []
+    for name in ("_plain", "_tokenizer"):
+        library = getattr(own, name)
+
+        class Seen:
+            def encode_batch_fast(self, some, library=library, **options):
+                given.append(max(len(some), *(len(x.split(" ")) for x in some)))
+                return library.encode_batch_fast(some, **options)
+
+        setattr(own, name, Seen())
+    monkeypatch.setattr(tokens, "LEARNED", 7)
+    assert own.encode(text) == whole and max(given) <= 7
