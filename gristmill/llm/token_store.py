@@ -18,6 +18,9 @@ Ids are encoded straight into the width they are stored in.
 Tasks write files of unique names through Arrow's file systems, straight to the
 shared folder; the manifest, itself a table, names those of the tasks that Spark
 accepted, so a lost executor or a second attempt leaves at most an unread file.
+Its rows, one a file, go through the driver into one part, and a task reads files
+of about ``READ_TOKENS`` ids: on a local disk Hadoop may start a program for each
+part that a task writes, which shares the executor's memory until it runs.
 
 Defined results: a null or empty text has the end id only. Repeated rows are
 written each, ties in id ordered by the text's hash. Null ids come first, written as the
@@ -47,6 +50,8 @@ SAMPLE = 512
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 NO_ID = -(1 << 63)
+#: Ids in the files that a task reads back, one file at least.
+READ_TOKENS = 2_000_000
 _TRAILER = struct.Struct("<QQ32sQ8s")
 _MANIFEST = pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("dictionary", pa.string())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -165,7 +170,9 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     order = ("doc_id", "h", "place")
     dealt = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = dealt.select("doc_id", "text").mapInArrow(write, "file string, first_id long, part int, n_docs long, n_tokens long, dictionary string")
-    return materialize(manifest, "manifest"), dictionary
+    # A row a file: nothing of a task is kept on an executor, so a lost one repeats only what it was running.
+    rows = manifest.toArrow()
+    return materialize(docs.sparkSession.createDataFrame(rows, manifest.schema).coalesce(1), "manifest"), dictionary
 
 
 def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
@@ -188,7 +195,8 @@ def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                         ids = pa.array(r.doc_ids[s], mask=r.doc_ids[s] == NO_ID)
                         yield batch({"doc_id": ids, "start": starts[s], "n_tokens": r.sizes[s].astype(np.int64), "ids_crc32": crc}, _READ)
 
-    spread = files.repartition(max(1, files.count()))
+    n, tokens = manifest.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    spread = files.repartition(max(1, min(n, -(-tokens // READ_TOKENS))))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

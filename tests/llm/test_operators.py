@@ -238,6 +238,26 @@ def test_token_store(spark, corpus, tmp_path):
     assert token_store.store(docs(spark, [])).count() == 0
 
 
+def test_token_store_writes_few_parts(spark, tmp_path):
+    """Many small files: one part of manifest and a few of the result, since a part starts programs beside the executor."""
+    rows = [(k, f"text {k % 9}") for k in range(800)]
+    ids = {t: library(t, 1) for _, t in rows[:9]}
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        manifest, dictionary = token_store.write_tokens(docs(spark, rows), f"file://{tmp_path}/t")
+        back = token_store.read_tokens(manifest, dictionary)
+        assert (manifest.count(), len(manifest.inputFiles()), back.rdd.getNumPartitions()) == (40, 1, 1)
+        got = back.orderBy("start").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(i, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for i, t in rows]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
