@@ -9,17 +9,35 @@ instead, so it is decontaminated and deduplicated as any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
-from gristmill.llm.common import discard, is_small, materialize, table
+from gristmill.llm.common import discard, is_small, materialize, settle, table
 
 REJECT_FROM = 0.5
 #: Ids (8 bytes each) up to which they are broadcast to the rows.
 MOST_BROADCAST = 500_000
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def settled(stage: Stage) -> Stage:
+    """The stage, on executors that don't hold the garbage of those before."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled ones among the documents outside the held-out fold; drops scores of 0.5 or more."""
     scored = toxicity.classify(docs.select(F.struct("*").alias("row"), "doc_id", "text"), table(spark, sf_dir, "labels"), learn_from=docs)
@@ -38,6 +56,7 @@ def _without(named: DataFrame, ids: DataFrame) -> DataFrame:
     return named.join(F.broadcast(ids) if is_small(ids, MOST_BROADCAST) else ids, "doc_id", "left_anti")
 
 
+@settled
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group. Of rows that repeat id and text one stays; other texts of a kept id stay."""
     named = _named(docs)
@@ -51,12 +70,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return left.join(own, "doc_id", "left_anti").select("row").union(first.select("row")).select("row.*")
 
 
+@settled
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
     named = _named(docs)
     return _without(named, decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select("doc_id")).select("row.*")
 
 
+@settled
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by its kind; the length of the text follows."""
     found = secret_scan.scan(docs)
@@ -65,6 +86,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.select(*docs.columns)
 
 
+@settled
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
     return packing.pack(docs)

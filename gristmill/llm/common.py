@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 STEP = 256
 #: Code points of the blocks that texts are cut from.
 BLOCK = 4096
+#: Bytes of rows that go to a worker at one time. Spark's own 64 MB hold 10,000 texts, whose buffers grow by doubling.
+BATCH_BYTES = 4 << 20
 #: In a worker: how the operator whose tasks it runs forgets what it remembers, by the operator's module.
 _AT_WORK: dict[str, Callable[[], None]] = {}
 
@@ -43,16 +45,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back.
 
     A lost executor then costs at most the tasks it was running; what was
-    written stays.
+    written stays. While it is written, workers get rows in batches of
+    ``BATCH_BYTES``, or of fewer bytes where the session says so.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, BATCH_BYTES):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches for workers have at most about ``most`` bytes in what runs meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    n = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if 0 < n <= most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def settle(spark: SparkSession) -> None:
+    """Each executor collects its garbage and gives free heap back to the system.
+
+    Without this a heap stays as large as it ever was. A task for each executor;
+    one that is busy and gets none keeps its garbage, and nothing else changes.
+    """
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is one of them
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``materialize`` wrote and that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from gristmill.llm.common import turn_to
+from gristmill.llm.common import trim, turn_to
 
 #: Bytes of words a worker remembers, in each of two generations.
 CACHE_BYTES = 45_000_000
@@ -161,6 +161,7 @@ class Encoder:
             out += [b"".join(map(known, own)) for own in cut]
             if self._held > CACHE_BYTES:
                 self._before, self._words, self._held = self._words, {"": b""}, 0
+                trim()
         return out
 
     def encode(self, text: str | None) -> bytes:

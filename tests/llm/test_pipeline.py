@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gristmill.llm import packing
@@ -95,3 +97,36 @@ def test_encoding_takes_words_in_pieces(monkeypatch):
         setattr(own, name, Seen())
     monkeypatch.setattr(tokens, "LEARNED", 7)
     assert own.encode(text) == whole and max(given) <= 7
+
+
+def test_each_stage_begins_on_heaps_without_garbage(spark, folder):
+    """A heap that has grown is given back when a stage begins; without that it stays as large as it ever was."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    grown = 2_000_000_000
+    for name, stage in corpus_pipeline.STAGES:
+        spark.range(1).select(F.octet_length(F.repeat(F.lit("x"), F.col("id").cast("int") + grown))).collect()
+        assert heap.totalMemory() > grown
+        with pytest.raises(AttributeError):  # no documents: it ends where its own work would begin
+            stage(spark, None, folder)
+        assert heap.totalMemory() < grown, name
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Every row arrives, in batches bounded in bytes; the session's own setting comes back."""
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64()), "size": pa.array([b.nbytes], pa.int64())})
+
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    before = spark.conf.get(key)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), F.col("id").cast("int") % 7 + 10_000).alias("text"))
+    found = corpus_pipeline.materialize(texts.mapInArrow(seen, "n long, size long"), "seen").collect()
+    assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 1.1 * most
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "1m")
+    try:
+        found = corpus_pipeline.materialize(texts.mapInArrow(seen, "n long, size long"), "seen").collect()
+        assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 1.1 * (1 << 20) and spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
